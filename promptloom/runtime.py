@@ -101,3 +101,12 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], *, how: str
     tagged_left = left.join(F.broadcast(table), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))).drop("_salts")
     tagged_right = right.join(F.broadcast(table), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return tagged_left.join(tagged_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores when the input has fewer splits than cores, for steps heavy on CPU.
+
+    Larger inputs already have enough splits and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, key) if df.rdd.getNumPartitions() < cores else df
