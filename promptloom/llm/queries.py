@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom.llm.bisection import split_documents
+from promptloom.llm.corpus_tokens import encode_corpus
 from promptloom.llm.format_duplicates import format_copies, format_groups
+from promptloom.llm.packing import pack_documents, packing_report
 from promptloom.llm.pair_defects import pair_defects
 from promptloom.llm.split_overlap import overlap_report, split_overlaps
 
@@ -35,5 +38,25 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(_table(spark, sf_dir, "equivalence_gold"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_report)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(_table(spark, sf_dir, "documents"))
+
+
+def _budgets(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return _table(spark, sf_dir, "token_budgets").where(F.col("job").startswith(kind))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _budgets(spark, sf_dir, "pack"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p7_packed(spark, sf_dir), _budgets(spark, sf_dir, "pack"))
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(_table(spark, sf_dir, "documents"), _budgets(spark, sf_dir, "split"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_report, p6_ids, p7_packed, p7_report, p8_pieces)}
 ORACLE_SQL: dict[str, str] = {}
