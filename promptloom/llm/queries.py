@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from promptloom.llm.bisection import split_documents
 from promptloom.llm.corpus_tokens import encode_corpus
 from promptloom.llm.format_duplicates import format_copies, format_groups
+from promptloom.llm.multi_index import IndexSettings, nearest_entries, usable_vectors
 from promptloom.llm.packing import pack_documents, packing_report
 from promptloom.llm.pair_defects import pair_defects
 from promptloom.llm.split_overlap import overlap_report, split_overlaps
@@ -21,6 +22,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(_table(spark, sf_dir, "cache_entries"))
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dim = IndexSettings().dim
+    entries = usable_vectors(_table(spark, sf_dir, "cache_entries"), "id", "prompt_embedding", dim)
+    scored = _table(spark, sf_dir, "lookup_records").where("cross_encoder_score is not null")
+    lookups = usable_vectors(scored, "query_id", "query_embedding", dim).groupBy("id").agg(F.min("vec").alias("vec"))
+    queries = entries.select(F.lit("entry").alias("side"), F.col("id").alias("query_id"), "vec").unionByName(lookups.select(F.lit("lookup").alias("side"), F.col("id").alias("query_id"), "vec"))
+    return nearest_entries(entries, queries)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_neighbours(spark, sf_dir).select("side", "query_id", "neighbour_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_copies(_table(spark, sf_dir, "cache_entries"))
 
@@ -58,5 +72,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(_table(spark, sf_dir, "documents"), _budgets(spark, sf_dir, "split"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_groups, p4_found, p4_report, p6_ids, p7_packed, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_report, p6_ids, p7_packed, p7_report, p8_pieces)}
 ORACLE_SQL: dict[str, str] = {}
