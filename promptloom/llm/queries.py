@@ -11,6 +11,7 @@ from promptloom.llm.format_duplicates import format_copies, format_groups
 from promptloom.llm.multi_index import IndexSettings, nearest_entries, usable_vectors
 from promptloom.llm.packing import pack_documents, packing_report
 from promptloom.llm.pair_defects import pair_defects
+from promptloom.llm.quota_sample import quota_report, quota_sample
 from promptloom.llm.split_overlap import overlap_report, split_overlaps
 
 
@@ -52,6 +53,18 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(_table(spark, sf_dir, "equivalence_gold"))
 
 
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota_report(_table(spark, sf_dir, "equivalence_gold"), _table(spark, sf_dir, "sample_targets"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_report(spark, sf_dir).where("short").select("domain", "label", "source")
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota_sample(_table(spark, sf_dir, "equivalence_gold"), _table(spark, sf_dir, "sample_targets"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -72,5 +85,5 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(_table(spark, sf_dir, "documents"), _budgets(spark, sf_dir, "split"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_report, p6_ids, p7_packed, p7_report, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_ids, p7_packed, p7_report, p8_pieces)}
 ORACLE_SQL: dict[str, str] = {}
