@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.llm.text_signals import is_placeholder, language_of, languages_named, parses_as_record
+from promptloom.runtime import materialize
 
 # Ways of saying that no answer will be given, by language.
 REFUSAL_PATTERNS = {
@@ -208,7 +209,7 @@ def _cut_by(short: str, long: str) -> bool:
     return inside_word or len(short.split()) >= NEIGHBOUR_WORDS
 
 
-def cut_responses(responses: DataFrame, *, rows_per_bucket: int = 200_000, split_sample: int = 20_000) -> DataFrame:
+def cut_responses(responses: DataFrame, *, rows_per_bucket: int = 25_000, split_sample: int = 20_000) -> DataFrame:
     """Distinct unfinished responses that a neighbour in sorted order continues.
 
     ``responses`` has one column ``response``. Sorted buckets are cut at quantiles of a sample of at most
@@ -260,7 +261,7 @@ def pair_defects(entries: DataFrame, *, id_col: str = "id", prompt_col: str = "p
     table gives an empty result; further columns of any name are ignored.
     """
     base = entries.select(F.col(id_col).cast("string").alias("id"), F.col(prompt_col).cast("string").alias("prompt"), F.col(response_col).cast("string").alias("response"))
-    judged = base.mapInArrow(_verdicts, "id string, defect string, response string")
+    judged = materialize(base.mapInArrow(_verdicts, "id string, defect string, response string"))
     settled = judged.where("defect <> 'open'").select("id", "defect")
     waiting = judged.where("defect = 'open'").select("id", "response")
     texts = base.select("response")
