@@ -36,10 +36,10 @@ class IndexSettings:
     max_sample: int = 50_000
     iterations: int = 10
     #: A query stops after this many entries met, but not before this many cells.
-    candidates: int = 128
-    least_cells: int = 32
+    candidates: int = 96
+    least_cells: int = 24
     #: Entries that one task holds at a time.
-    block_entries: int = 20_000
+    block_entries: int = 50_000
 
 
 def fit_codebook(points: np.ndarray, count: int, iterations: int, seed: int = 7) -> np.ndarray:
@@ -270,46 +270,50 @@ def _scan(settings: IndexSettings):
     return scan
 
 
-def nearest_entries(entries: DataFrame, queries: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
-    """The ``k`` most similar entries of every query: ``(side, query_id, neighbour_id, similarity)``.
+def nearest_entries(entries: DataFrame, others: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
+    """The ``k`` most similar entries of every entry and of every other query: ``(side, query_id, neighbour_id, similarity)``.
 
-    ``entries`` is ``(id, vec)`` and ``queries`` ``(side, query_id, vec)`` as :func:`usable_vectors` packs them;
-    a query of side ``entry`` is not its own neighbour. Similarity is the cosine, rounded to six decimals; equal ones
-    are taken by the smaller id. Equal vectors are indexed once with their smallest ids, so many copies of one
-    vector cost no more than one, and each distinct query vector is searched once. With fewer than ``k`` others
-    all of them come out; empty tables give no rows.
+    ``entries`` is ``(id, vec)`` and ``others`` ``(side, query_id, vec)`` as :func:`usable_vectors` packs them. The entries
+    themselves are queries of side ``entry`` and are not their own neighbours. Similarity is the cosine, rounded to six
+    decimals; equal ones are taken by the smaller id. Equal vectors are indexed once with their smallest ids, so many
+    copies of one vector cost no more than one, and each distinct query vector is searched once; a query delivered
+    with several vectors is asked with one of them. With fewer than ``k`` others all of them come out; empty
+    tables give no rows.
     """
     spark = entries.sparkSession
-    spread_over = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = spark.sparkContext.defaultParallelism
+    key = ["k1", "k2"]
     keyed = entries.select("id", "vec", *key128(F.col("vec")))
-    smallest = keyed.withColumn("r", F.row_number().over(W.Window.partitionBy("k1", "k2").orderBy("id"))).where(F.col("r") <= settings.k + 1)
-    distinct = materialize(smallest.groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = materialize(queries.select("side", "query_id", "vec", *key128(F.col("vec"))))
-    empty = spark.createDataFrame([], "side string, query_id string, neighbour_id string, similarity double")
+    smallest = keyed.withColumn("r", F.row_number().over(W.Window.partitionBy(*key).orderBy("id"))).where(F.col("r") <= settings.k + 1)
+    distinct = materialize(smallest.groupBy(*key).agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")))
+    outside = others.select("side", "query_id", "vec", *key128(F.col("vec")))
+    asked = keyed.select(F.lit("entry").alias("side"), F.col("id").alias("query_id"), *key).unionByName(
+        outside.groupBy("side", "query_id").agg(F.min(F.struct(*key)).alias("k")).select("side", "query_id", "k.k1", "k.k2")
+    )
     total = distinct.count()
     if not total:
-        return empty
-    blocks = max(-(-total // settings.block_entries), min(spread_over, -(-total // 500)))
+        return spark.createDataFrame([], "side string, query_id string, neighbour_id string, similarity double")
+    blocks = max(-(-total // settings.block_entries), min(cores + cores // 2, -(-total // 500)))
     books = fit_codebooks(distinct, total, settings, blocks)
     shared = spark.sparkContext.broadcast(books)
-    indexed = materialize(distinct.select("k1", "k2", "vec", "ids").mapInArrow(_entry_cells(shared, settings), "k1 long, k2 long, vec binary, ids array<string>, cell int, block int"))
-    filled = indexed.groupBy("cell").agg(F.count("*").cast("int").alias("n")).toArrow()
+    placed_entries = distinct.mapInArrow(_entry_cells(shared, settings), "k1 long, k2 long, vec binary, ids array<string>, cell int, block int")
+    filled = placed_entries.groupBy("cell").agg(F.count("*").cast("int").alias("n")).toArrow()
     sizes = np.zeros(len(books.first) * len(books.second), dtype=np.int32)
     cells = filled.column("cell").to_numpy().astype(np.int64)
     sizes[cells] = filled.column("n").to_numpy()
     per_block = np.bincount(books.block_of(cells), weights=sizes[cells], minlength=books.groups * (int(books.group1.max()) + 1))
     chunks = np.maximum(1, np.ceil(per_block / settings.block_entries)).astype(np.int32)
     sized = spark.sparkContext.broadcast(Codebooks(books.first, books.second, books.group1, books.group2, sizes.reshape(len(books.first), len(books.second)), chunks))
-    chunk_table = F.array(*[F.lit(int(c)) for c in chunks]) if chunks.max() > 1 else None
-    chunk_of = F.pmod("k1", F.get(chunk_table, F.col("block"))).cast("int") if chunk_table is not None else F.lit(0)
-    stored = indexed.select("block", chunk_of.alias("chunk"), F.lit(0).alias("kind"), "k1", "k2", "vec", F.array("cell").alias("cells"), "ids")
-    wanted = asked.select("k1", "k2", "vec").dropDuplicates(["k1", "k2"])
-    visits = wanted.mapInArrow(_query_visits(sized, settings), "block int, chunk int, k1 long, k2 long, vec binary, cells array<int>")
-    calls = visits.select("block", "chunk", F.lit(1).alias("kind"), "k1", "k2", "vec", "cells", F.lit(None).cast("array<string>").alias("ids"))
-    placed = stored.unionByName(calls).repartition(spread_over * 2, "block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    chunk_of = F.pmod("k1", F.get(F.array(*[F.lit(int(c)) for c in chunks]), F.col("block"))).cast("int") if chunks.max() > 1 else F.lit(0)
+    stored = placed_entries.select("block", chunk_of.alias("chunk"), F.lit(0).alias("kind"), *key, "vec", F.array("cell").alias("cells"), "ids")
+    new = outside.groupBy(*key).agg(F.first("vec").alias("vec")).join(distinct.select(*key), key, "left_anti")
+    visits = distinct.select(*key, "vec").unionByName(new).mapInArrow(_query_visits(sized, settings), "block int, chunk int, k1 long, k2 long, vec binary, cells array<int>")
+    calls = visits.select("block", "chunk", F.lit(1).alias("kind"), *key, "vec", "cells", F.lit(None).cast("array<string>").alias("ids"))
+    tasks = max(cores, int(chunks.sum()))
+    placed = stored.unionByName(calls).repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk", "kind")
     found = placed.mapInArrow(_scan(settings), "k1 long, k2 long, found array<struct<far:double,ids:array<string>>>")
-    merged = found.groupBy("k1", "k2").agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, settings.k + 1).alias("found"))
+    merged = found.groupBy(*key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, settings.k + 1).alias("found"))
     each = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct(f["far"].alias("far"), i.alias("id")))))
-    others = F.filter(each, lambda x: (F.col("side") != "entry") | (x["id"] != F.col("query_id")))
-    listed = salted_join(asked.select("side", "query_id", "k1", "k2"), merged, ["k1", "k2"]).select("side", "query_id", F.explode(F.slice(F.array_sort(others), 1, settings.k)).alias("n"))
+    open_to = F.filter(each, lambda x: (F.col("side") != "entry") | (x["id"] != F.col("query_id")))
+    listed = salted_join(asked, merged, key).select("side", "query_id", F.explode(F.slice(F.array_sort(open_to), 1, settings.k)).alias("n"))
     return listed.select("side", "query_id", F.col("n.id").alias("neighbour_id"), (-F.col("n.far")).alias("similarity"))

@@ -27,9 +27,8 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = IndexSettings().dim
     entries = usable_vectors(_table(spark, sf_dir, "cache_entries"), "id", "prompt_embedding", dim)
     scored = _table(spark, sf_dir, "lookup_records").where("cross_encoder_score is not null")
-    lookups = usable_vectors(scored, "query_id", "query_embedding", dim).groupBy("id").agg(F.min("vec").alias("vec"))
-    queries = entries.select(F.lit("entry").alias("side"), F.col("id").alias("query_id"), "vec").unionByName(lookups.select(F.lit("lookup").alias("side"), F.col("id").alias("query_id"), "vec"))
-    return nearest_entries(entries, queries)
+    lookups = usable_vectors(scored, "query_id", "query_embedding", dim)
+    return nearest_entries(entries, lookups.select(F.lit("lookup").alias("side"), F.col("id").alias("query_id"), "vec"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
