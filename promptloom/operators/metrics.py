@@ -84,6 +84,13 @@ def _grid(spark, count: int, name: str) -> DataFrame:
     return spark.range(count).select(F.col("id").cast("int").alias(name))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null; the keys come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    conditions = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, conditions, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def threshold_sweep(scored: DataFrame, group: list[str], *, lowest: float = 0.0, step: float = 0.01, count: int = 101) -> DataFrame:
     """Confusion counts and rates per group at each of ``count`` thresholds.
 
@@ -93,8 +100,7 @@ def threshold_sweep(scored: DataFrame, group: list[str], *, lowest: float = 0.0,
     counts = rows.groupBy(*group, "passed").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
     totals = counts.groupBy(*group).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     steps = totals.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    keys = [steps[g].eqNullSafe(counts[g]) for g in group]
-    passed = steps.join(counts, [*keys, counts["passed"] == steps["at"] + 1], "left").select(*[steps[g] for g in group], "at", "_p", "_n", F.coalesce(counts["p"], F.lit(0)).alias("p"), F.coalesce(counts["n"], F.lit(0)).alias("n"))
+    passed = _join_null_safe(steps, counts.withColumn("at", F.col("passed") - 1).drop("passed"), [*group, "at"]).fillna(0, ["p", "n"])
     above = W.Window.partitionBy(*group).orderBy(F.desc("at")).rowsBetween(W.Window.unboundedPreceding, 0)
     summed = passed.withColumn("tp", F.sum("p").over(above)).withColumn("fp", F.sum("n").over(above))
     full = summed.withColumn("fn", F.col("_p") - F.col("tp")).withColumn("tn", F.col("_n") - F.col("fp"))
@@ -126,10 +132,7 @@ def grid_search(scored: DataFrame, group: list[str], *, first: tuple[float, floa
     summed = by_row.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).groupBy(*group, "i", "j").agg(F.sum("p").alias("tp"), F.sum("n").alias("fp"))
     grid = F.broadcast(_grid(spark, t1[2], "i").join(_grid(spark, t2[2], "j"), F.lit(True)))
     every = totals.join(grid, F.lit(True))
-    keys = [every[g].eqNullSafe(summed[g]) for g in group]
-    joined = every.join(summed, [*keys, every["i"] == summed["i"], every["j"] == summed["j"]], "left").select(
-        *[every[g] for g in group], every["i"], every["j"], "_p", "_n", F.coalesce(summed["tp"], F.lit(0)).alias("tp"), F.coalesce(summed["fp"], F.lit(0)).alias("fp")
-    )
+    joined = _join_null_safe(every, summed, [*group, "i", "j"]).fillna(0, ["tp", "fp"])
     full = joined.withColumn("fn", F.col("_p") - F.col("tp")).withColumn("tn", F.col("_n") - F.col("fp"))
     rates = {n: F.round(c, 6) for n, c in _rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")], empty_precision=1.0).items()}
     rated = full.select(*group, "i", "j", "tp", "fp", "tn", "fn", *[c.alias(n) for n, c in rates.items()])

@@ -94,8 +94,8 @@ def _entity(detector: str, rows: str) -> str:
 
 def _first_entity(rows: str) -> str:
     """``(key, detector, token_a, token_b)`` of the first detector in order, for the keys where one fires."""
-    parts = " UNION ALL ".join(f"SELECT key, {i} AS at, {_q(d)} AS detector, token_a, token_b FROM ({_entity(d, rows)})" for i, d in enumerate(X.DETECTORS))
-    return f"SELECT key, detector, token_a, token_b FROM ({parts}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY at) = 1"
+    parts = " UNION ALL ".join(f"SELECT key, {i} AS ord, {_q(d)} AS detector, token_a, token_b FROM ({_entity(d, rows)})" for i, d in enumerate(X.DETECTORS))
+    return f"SELECT key, detector, token_a, token_b FROM ({parts}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1"
 
 
 def _opposite(a: str, b: str) -> str:
