@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Medication names that must not be swapped.
@@ -68,21 +68,6 @@ def name_tokens(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Z][a-z]+|[A-Z]+(?=[A-Z][a-z])|[A-Z]+"), F.lit(0)), F.lower))
 
 
-def _change(detector: str, changed: Column, a: Column, b: Column) -> Column:
-    """Struct of a detector where it fires; the tokens are the smallest of each side's own ones."""
-    return F.when(changed, F.struct(F.lit(detector).alias("detector"), a.alias("token_a"), b.alias("token_b")))
-
-
-def _least(values: Column) -> Column:
-    return F.array_min(values)
-
-
-def _sets_differ(detector: str, a: Column, b: Column) -> Column:
-    own_a, own_b = F.array_except(a, b), F.array_except(b, a)
-    changed = (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(own_a) > 0) | (F.size(own_b) > 0))
-    return _change(detector, changed, F.coalesce(_least(own_a), _least(a)), F.coalesce(_least(own_b), _least(b)))
-
-
 @dataclass(frozen=True)
 class EntityRules:
     """Which detectors run; the two strict flags switch single ones off as well."""
@@ -102,88 +87,90 @@ class EntityRules:
         return [d for d in DETECTORS if d not in off] if self.enabled else []
 
 
-def _pattern_detector(detector: str, pattern: str, fold=None):
-    def build(a: Column, b: Column) -> Column:
-        sets = [F.transform(_found(t, pattern), fold) if fold else _found(t, pattern) for t in (a, b)]
-        return _sets_differ(detector, *[F.array_distinct(s) for s in sets])
+_PATTERNS = {"quarter": (QUARTER, F.upper), "year": (YEAR, None), "ordinal": (ORDINAL, F.lower), "numeric": (NUMBER, F.lower), "version": (VERSION, F.lower), "month": (MONTH, F.lower), "day": (DAY, F.lower)}
+_LEXICONS = {"drug": DRUGS, "temporal": TEMPORAL_WORDS, "privilege": PRIVILEGES}
 
-    return build
 
+def _entity_set(detector: str, text: Column, tokens: Column) -> Column:
+    """What one side mentions of the kind a detector compares; ``tokens`` is its :func:`token_set`."""
+    if detector in _LEXICONS:
+        return F.array_intersect(tokens, _words(_LEXICONS[detector]))
+    if detector == "proper_noun":
+        return F.filter(F.array_except(name_tokens(text), _words(NOT_NAMES)), lambda x: F.length(x) > 2)
+    pattern, fold = _PATTERNS[detector]
+    found = F.array_distinct(F.transform(_found(text, pattern), fold)) if fold else _found(text, pattern)
+    return F.filter(found, lambda x: ~x.rlike(r"^(?:19|20)\d{2}$")) if detector == "numeric" else found
 
-def _numeric(a: Column, b: Column) -> Column:
-    plain = lambda t: F.filter(F.transform(_found(t, NUMBER), F.lower), lambda x: ~x.rlike(r"^(?:19|20)\d{2}$"))
-    return _sets_differ("numeric", F.array_distinct(plain(a)), F.array_distinct(plain(b)))
 
+def _verdict(detector: str, a: Column, b: Column, own_a: Column, own_b: Column, mine_a: Column, mine_b: Column) -> Column:
+    """Struct of a detector where it fires. Tokens are the smallest of each side's own ones, so they do not depend on order."""
+    least_a, least_b = F.array_min(own_a), F.array_min(own_b)
+    both = (F.size(a) > 0) & (F.size(b) > 0)
+    differ = both & ((F.size(own_a) > 0) | (F.size(own_b) > 0))
+    each = (F.size(own_a) > 0) & (F.size(own_b) > 0)
 
-def _drug(a: Column, b: Column) -> Column:
-    known = [F.array_intersect(token_set(t), _words(DRUGS)) for t in (a, b)]
-    own = [F.array_except(known[0], known[1]), F.array_except(known[1], known[0])]
-    changed = (F.size(known[0]) > 0) & (F.size(known[1]) > 0) & ((F.size(own[0]) > 0) | (F.size(own[1]) > 0))
-    return _change("drug", changed, _least(own[0]), _least(own[1]))
-
-
-def _temporal(a: Column, b: Column) -> Column:
-    known = [F.array_intersect(token_set(t), _words(TEMPORAL_WORDS)) for t in (a, b)]
-    own_a, own_b = F.array_except(known[0], known[1]), F.array_except(known[1], known[0])
-    first, second = _least(own_a), _least(own_b)
-    same = F.array_contains(_words([" ".join(sorted(p)) for p in HARMLESS_TEMPORAL]), F.concat_ws(" ", F.array_sort(F.array(first, second))))
-    return _change("temporal", (F.size(own_a) > 0) & (F.size(own_b) > 0) & ~same, first, second)
-
-
-def _privilege(a: Column, b: Column) -> Column:
-    known_a, known_b = [F.array_intersect(token_set(t), _words(PRIVILEGES)) for t in (a, b)]
-    mine_a, mine_b = [F.arrays_overlap(token_set(t), _words(POSSESSIVES)) for t in (a, b)]
-    own_a, own_b = F.array_except(known_a, known_b), F.array_except(known_b, known_a)
-    swapped = (F.size(known_a) > 0) & (F.size(known_b) > 0) & ((F.size(own_a) > 0) | (F.size(own_b) > 0))
-    return F.coalesce(
-        _change("privilege", swapped, _least(own_a), _least(own_b)),
-        _change("privilege", (F.size(known_a) > 0) & (F.size(known_b) == 0) & mine_b, _least(known_a), F.lit("user")),
-        _change("privilege", (F.size(known_b) > 0) & (F.size(known_a) == 0) & mine_a, F.lit("user"), _least(known_b)),
-    )
+    def change(changed: Column, token_a: Column, token_b: Column) -> Column:
+        return F.when(changed, F.struct(F.lit(detector).alias("detector"), token_a.alias("token_a"), token_b.alias("token_b")))
 
+    if detector == "drug":
+        return change(differ, least_a, least_b)
+    if detector == "proper_noun":
+        return change(each, least_a, least_b)
+    if detector == "temporal":
+        same = F.array_contains(_words([" ".join(sorted(p)) for p in HARMLESS_TEMPORAL]), F.concat_ws(" ", F.array_sort(F.array(least_a, least_b))))
+        return change(each & ~same, least_a, least_b)
+    if detector == "privilege":
+        return F.coalesce(
+            change(differ, least_a, least_b), change((F.size(a) > 0) & (F.size(b) == 0) & mine_b, F.array_min(a), F.lit("user")), change((F.size(b) > 0) & (F.size(a) == 0) & mine_a, F.lit("user"), F.array_min(b))
+        )
+    return change(differ, F.coalesce(least_a, F.array_min(a)), F.coalesce(least_b, F.array_min(b)))
 
-def _proper_noun(a: Column, b: Column) -> Column:
-    names = [F.filter(F.array_except(name_tokens(t), _words(NOT_NAMES)), lambda x: F.length(x) > 2) for t in (a, b)]
-    own_a, own_b = F.array_except(names[0], names[1]), F.array_except(names[1], names[0])
-    return _change("proper_noun", (F.size(own_a) > 0) & (F.size(own_b) > 0), _least(own_a), _least(own_b))
 
+def with_entity_change(df: DataFrame, a: str, b: str, name: str, rules: EntityRules = EntityRules()) -> DataFrame:
+    """Add ``name``: struct of the first detector, in fixed order, that sees another entity in ``b`` than in ``a``, else null.
 
-_BUILDERS = {
-    "quarter": _pattern_detector("quarter", QUARTER, F.upper), "year": _pattern_detector("year", YEAR), "ordinal": _pattern_detector("ordinal", ORDINAL, F.lower), "drug": _drug, "numeric": _numeric,
-    "version": _pattern_detector("version", VERSION, F.lower), "month": _pattern_detector("month", MONTH, F.lower), "day": _pattern_detector("day", DAY, F.lower), "temporal": _temporal, "privilege": _privilege, "proper_noun": _proper_noun,
-}
-
-
-def detect_change(detector: str, a: Column, b: Column) -> Column:
-    """Struct ``(detector, token_a, token_b)`` if this detector sees another entity, else null."""
-    return _BUILDERS[detector](a, b)
-
-
-def entity_change(a: Column, b: Column, rules: EntityRules = EntityRules()) -> Column:
-    """First detector, in fixed order, that sees another entity in ``b`` than in ``a``; null if none does."""
-    found = [detect_change(d, a, b) for d in rules.active()]
-    return F.coalesce(*found) if found else F.lit(None).cast("struct<detector:string,token_a:string,token_b:string>")
-
-
-def opposite_action(a: Column, b: Column, *, whole_words: bool = False) -> Column:
-    """Whether two prompts ask for opposite things: antonyms, one-sided negation or other whole numbers.
-
-    Words are looked for as substrings, or as whole words with ``whole_words``.
+    Token sets, what each side mentions and what only it mentions are columns of their own before the verdict, so
+    that none is computed twice.
+    """
+    active = rules.active()
+    if not active:
+        return df.withColumn(name, F.lit(None).cast("struct<detector:string,token_a:string,token_b:string>"))
+    kept = df.columns
+    sides = {"a": F.col(a), "b": F.col(b)}
+    staged = df.withColumns({f"_t_{s}": token_set(c) for s, c in sides.items()})
+    staged = staged.withColumns({f"_e_{d}_{s}": _entity_set(d, c, F.col(f"_t_{s}")) for d in active for s, c in sides.items()})
+    own = {f"_o_{d}_{s}": F.array_except(f"_e_{d}_{s}", f"_e_{d}_{o}") for d in active for s, o in (("a", "b"), ("b", "a"))}
+    staged = staged.withColumns({**own, **{f"_m_{s}": F.arrays_overlap(f"_t_{s}", _words(POSSESSIVES)) for s in sides}})
+    verdicts = [_verdict(d, *[F.col(f"_{k}_{d}_{s}") for k in "eo" for s in "ab"], F.col("_m_a"), F.col("_m_b")) for d in active]
+    return staged.withColumn(name, F.coalesce(*verdicts)).select(*[c for c in kept if c != name], name)
+
+
+def with_opposite_action(df: DataFrame, a: str, b: str, name: str, *, whole_words: bool = False) -> DataFrame:
+    """Add ``name``: whether two prompts ask for opposite things: antonyms, one-sided negation or other whole numbers.
+
+    Words are looked for as substrings, or as whole words with ``whole_words``. Each word is looked for once per side.
     """
-    low_a, low_b = F.lower(F.coalesce(a, F.lit(""))), F.lower(F.coalesce(b, F.lit("")))
+    terms = sorted({w for pair in OPPOSITES for w in pair} | set(NEGATABLE))
 
     def has(text: Column, word: str) -> Column:
         return text.rlike(rf"(?<![a-z']){word}(?![a-z'])") if whole_words else text.contains(word)
 
-    checks = []
-    for one, two in OPPOSITES:
-        a1, a2, b1, b2 = has(low_a, one), has(low_a, two), has(low_b, one), has(low_b, two)
-        checks.append(((a1 & b2) | (a2 & b1)) & ~(a1 & b1) & ~(a2 & b2))
-    turned = lambda t: _any([has(t, n) for n in NEGATIONS])
-    shared = _any([has(low_a, k) & has(low_b, k) for k in NEGATABLE])
-    numbers = [_found(t, r"\b\d+\b") for t in (a, b)]
-    other_numbers = (F.size(numbers[0]) > 0) & (F.size(numbers[1]) > 0) & ((F.size(F.array_except(*numbers)) > 0) | (F.size(F.array_except(numbers[1], numbers[0])) > 0))
-    return _any(checks) | (shared & (turned(low_a) != turned(low_b))) | other_numbers
+    def present(text: Column) -> Column:
+        return F.filter(F.array(*[F.when(has(text, t), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+
+    sides = {"a": F.col(a), "b": F.col(b)}
+    kept = df.columns
+    staged = df.withColumns({f"_l_{s}": F.lower(F.coalesce(c, F.lit(""))) for s, c in sides.items()})
+    staged = staged.withColumns(
+        {**{f"_w_{s}": present(F.col(f"_l_{s}")) for s in sides}, **{f"_n_{s}": _any([has(F.col(f"_l_{s}"), n) for n in NEGATIONS]) for s in sides}, **{f"_d_{s}": _found(c, r"\b\d+\b") for s, c in sides.items()}}
+    )
+    staged = staged.withColumns({"_both": F.array_intersect("_w_a", "_w_b"), "_only_a": F.array_except("_w_a", "_w_b"), "_only_b": F.array_except("_w_b", "_w_a")})
+    only = lambda x, y: F.array_contains("_only_a", x) & F.array_contains("_only_b", y)
+    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in OPPOSITES])
+    antonyms = (F.size("_only_a") > 0) & (F.size("_only_b") > 0) & F.exists(pairs, lambda p: only(p["x"], p["y"]) | only(p["y"], p["x"]))
+    negation = F.arrays_overlap("_both", _words(NEGATABLE)) & (F.col("_n_a") != F.col("_n_b"))
+    numbers = (F.size("_d_a") > 0) & (F.size("_d_b") > 0) & ((F.size(F.array_except("_d_a", "_d_b")) > 0) | (F.size(F.array_except("_d_b", "_d_a")) > 0))
+    return staged.withColumn(name, antonyms | negation | numbers).select(*[c for c in kept if c != name], name)
 
 
 def _any(conditions: list[Column]) -> Column:

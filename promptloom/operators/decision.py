@@ -73,13 +73,13 @@ def decide(pairs: DataFrame, settings: LadderSettings = LadderSettings()) -> Dat
 
     Reads query_prompt, cached_prompt (null: no candidate), domain, classifier_score and cross_encoder_score (null:
     that scorer did not run). Order: no candidate, opposite action, classifier gate, bypass, cross-encoder gate,
-    entity change. All conditions are JVM expressions of one projection, without a shuffle.
+    entity change. All of it are JVM expressions, without a shuffle.
     """
     tier = risk_tier(F.col("domain"), settings)
     mlp_gate, cross_gate = thresholds(F.col("domain"), F.col("risk_tier"), settings)
     mlp, cross = F.col("classifier_score"), F.col("cross_encoder_score")
     changed = F.col("_change").isNotNull()
-    veto = X.opposite_action(F.col("query_prompt"), F.col("cached_prompt")) if settings.veto_opposites else F.lit(False)
+    veto = F.col("_veto") if settings.veto_opposites else F.lit(False)
     bypassed = mlp >= settings.bypass if settings.bypass is not None else F.lit(False)
     entity = F.concat(F.lit("entity_change_detected:"), F.col("_change.detector"))
     on_bypass = F.when(bypassed & changed, entity).when(bypassed, F.lit("mlp_bypass")) if settings.check_entities_on_bypass else F.when(bypassed, F.lit("mlp_bypass"))
@@ -93,9 +93,12 @@ def decide(pairs: DataFrame, settings: LadderSettings = LadderSettings()) -> Dat
         F.when(changed, entity),
         F.lit("passed_all_thresholds"),
     )
-    out = pairs.withColumn("risk_tier", tier).withColumn("_change", X.entity_change(F.col("query_prompt"), F.col("cached_prompt"), settings.rules)).withColumn("reason", reason)
+    ruled = X.with_entity_change(pairs.withColumn("risk_tier", tier), "query_prompt", "cached_prompt", "_change", settings.rules)
+    if settings.veto_opposites:
+        ruled = X.with_opposite_action(ruled, "query_prompt", "cached_prompt", "_veto")
+    out = ruled.withColumn("reason", reason)
     hit = F.col("reason").isin("mlp_bypass", "passed_all_thresholds", "passed_mlp_threshold_no_cross_encoder")
-    return out.withColumn("decision", F.when(hit, "hit").otherwise("miss")).withColumn("detector", F.when(F.col("reason").startswith("entity_change"), F.col("_change.detector"))).drop("_change")
+    return out.withColumn("decision", F.when(hit, "hit").otherwise("miss")).withColumn("detector", F.when(F.col("reason").startswith("entity_change"), F.col("_change.detector"))).drop("_change", "_veto")
 
 
 def active_learning(decided: DataFrame, source_prefix: str = "") -> DataFrame:

@@ -20,7 +20,7 @@ from promptloom.operators import ledger as L
 from promptloom.operators import metrics as M
 from promptloom.operators import pairs as P
 from promptloom.plans.oracle import ORACLE_SQL  # noqa: F401
-from promptloom.runtime import shared_dir
+from promptloom.runtime import shared_dir, spread
 from promptloom.schemas import PAIRS, conform
 from promptloom.streaming.reissue import reissue_stream
 from promptloom.streaming.replay import ReplaySettings, exact_replay
@@ -112,7 +112,7 @@ def _lookup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "lookup_records").drop("query_embedding").distinct()
     prompts = table(spark, sf_dir, "cache_entries").select(F.col("id").alias("cache_entry_id"), F.col("prompt").alias("cached_prompt"))
     domain = F.lower(F.regexp_replace(X.strip_space(F.col("domain")), r"[ _]", "-"))
-    return L.salted_join(calls, prompts, ["cache_entry_id"]).withColumn("domain", domain)
+    return spread(L.salted_join(calls, prompts, ["cache_entry_id"]).withColumn("domain", domain), "query_id")
 
 
 @query
@@ -157,22 +157,24 @@ def argmax_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "equivalence_gold")
+    return spread(table(spark, sf_dir, "equivalence_gold"), "pair_id")
 
 
 @query
 def opposite_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gold(spark, sf_dir).select("pair_id", X.opposite_action(F.col("prompt_a"), F.col("prompt_b")).alias("opposite"))
+    return X.with_opposite_action(_gold(spark, sf_dir), "prompt_a", "prompt_b", "opposite").select("pair_id", "opposite")
 
 
 @query
 def entity_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gold(spark, sf_dir).select("pair_id", X.entity_change(F.col("prompt_a"), F.col("prompt_b")).alias("c")).select("pair_id", "c.*")
+    return X.with_entity_change(_gold(spark, sf_dir), "prompt_a", "prompt_b", "c").select("pair_id", "c.*")
 
 
 def _entity_query(detector: str) -> Callable[[SparkSession, str], DataFrame]:
+    only = X.EntityRules(disabled=tuple(d for d in X.DETECTORS if d != detector))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _gold(spark, sf_dir).select("pair_id", X.detect_change(detector, F.col("prompt_a"), F.col("prompt_b")).alias("c"))
+        found = X.with_entity_change(_gold(spark, sf_dir), "prompt_a", "prompt_b", "c", only)
         return found.where("c is not null").select("pair_id", "c.token_a", "c.token_b")
 
     run.__name__ = f"entity_{detector}"
