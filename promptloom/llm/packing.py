@@ -66,7 +66,7 @@ def _packer(level: int):
             if not len(gaps):
                 gaps = np.array([capacity], dtype=np.int64)
             where[real:] = np.arange(len(rows) - real) % len(gaps)
-        base = ((level << 30) + int(rows["grp"].iloc[0])) << 32
+        base = ((level << 28) + int(rows["grp"].iloc[0])) << 32
         return pd.DataFrame({"job": rows["job"], "container_id": base + where, "doc_id": rows["doc_id"], "piece": rows["piece"], "first_token": rows["first_token"], "n_tokens": sizes, "gap": gaps[where]})
 
     return pack

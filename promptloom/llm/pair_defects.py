@@ -213,7 +213,7 @@ def cut_responses(responses: DataFrame, *, rows_per_bucket: int = 25_000, split_
     """Distinct unfinished responses that a neighbour in sorted order continues.
 
     ``responses`` has one column ``response``. Sorted buckets are cut at quantiles of a sample of at most
-    about ``split_sample`` texts, which only places the cuts; a text that begins the next bucket's first key also goes
+    about ``split_sample`` beginnings, which only places the cuts; a text that begins the next bucket's first key also goes
     there, so no pair of neighbours is parted.
     """
     texts = responses.where("response is not null").groupBy("response").agg(F.count("*").alias("n")).select("response")
@@ -222,7 +222,7 @@ def cut_responses(responses: DataFrame, *, rows_per_bucket: int = 25_000, split_
     splits: list[str] = []
     if n > 1:
         fraction = min(1.0, split_sample / total)
-        sample = sorted(r[0] for r in responses.where("response is not null").sample(fraction, seed=5).collect())
+        sample = sorted(r[0] for r in responses.where("response is not null").sample(fraction, seed=5).select(F.substring("response", 1, 64)).collect())
         splits = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
