@@ -33,14 +33,13 @@ OPPOSITES = [
 # Words whose meaning a negation turns round, and negations.
 NEGATABLE = "required safe valid active legitimate binding enforceable malignant benign".split()
 NEGATIONS = ["not", "no", "never", "don't", "cannot", "can't", "refuse"]
-# Patterns of dates, numbers and versions.
+# Names of months, days and ordinals, and patterns of dates, numbers and versions.
+MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec".split()
+DAYS = "monday tuesday wednesday thursday friday saturday sunday mon tue wed thu fri sat sun".split()
+ORDINALS = "first second third fourth fifth sixth seventh eighth ninth tenth".split()
 QUARTER = r"(?i)\b(?:Q[1-4]|quarter\s+[1-4]|[1-4](?:st|nd|rd|th)\s+quarter)\b"
-ORDINAL = r"(?i)\b(?:first|second|third|fourth|fifth|sixth|seventh|eighth|ninth|tenth|[1-9][0-9]*(?:st|nd|rd|th))\b"
-YEAR = r"\b(?:19|20)\d{2}\b"
 NUMBER = r"\b\d+(?:\.\d+)?[a-zA-Z]{0,5}"
 VERSION = r"(?i)\bv?\d+(?:\.\d+){1,3}\b"
-MONTH = r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\b"
-DAY = r"(?i)\b(?:monday|tuesday|wednesday|thursday|friday|saturday|sunday|mon|tue|wed|thu|fri|sat|sun)\b"
 #: Order in which the detectors decide.
 DETECTORS = ["quarter", "year", "ordinal", "drug", "numeric", "version", "month", "day", "temporal", "privilege", "proper_noun"]
 
@@ -54,8 +53,13 @@ def _found(text: Column, pattern: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)))
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _words(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """Array of literals, as one expression."""
+    return F.expr("array(" + ", ".join(_quoted(w) for w in words) + ")")
 
 
 def token_set(text: Column) -> Column:
@@ -87,19 +91,31 @@ class EntityRules:
         return [d for d in DETECTORS if d not in off] if self.enabled else []
 
 
-_PATTERNS = {"quarter": (QUARTER, F.upper), "year": (YEAR, None), "ordinal": (ORDINAL, F.lower), "numeric": (NUMBER, F.lower), "version": (VERSION, F.lower), "month": (MONTH, F.lower), "day": (DAY, F.lower)}
 _LEXICONS = {"drug": DRUGS, "temporal": TEMPORAL_WORDS, "privilege": PRIVILEGES}
+_CALENDAR = {"month": MONTHS, "day": DAYS}
 
 
-def _entity_set(detector: str, text: Column, tokens: Column) -> Column:
-    """What one side mentions of the kind a detector compares; ``tokens`` is its :func:`token_set`."""
+def _entity_set(detector: str, text: Column, low: Column, tokens: Column, runs: Column) -> Column:
+    """What one side mentions of the kind a detector compares.
+
+    ``low`` is the text in lower case, ``tokens`` its :func:`token_set` and ``runs`` its runs of word characters.
+    """
+    none = F.array().cast("array<string>")
     if detector in _LEXICONS:
         return F.array_intersect(tokens, _words(_LEXICONS[detector]))
-    if detector == "proper_noun":
-        return F.filter(F.array_except(name_tokens(text), _words(NOT_NAMES)), lambda x: F.length(x) > 2)
-    pattern, fold = _PATTERNS[detector]
-    found = F.array_distinct(F.transform(_found(text, pattern), fold)) if fold else _found(text, pattern)
-    return F.filter(found, lambda x: ~x.rlike(r"^(?:19|20)\d{2}$")) if detector == "numeric" else found
+    if detector in _CALENDAR:
+        return F.array_intersect(runs, _words(_CALENDAR[detector]))
+    if detector == "year":
+        return F.filter(runs, lambda x: x.rlike(r"^(?:19|20)[0-9]{2}$"))
+    if detector == "ordinal":
+        return F.filter(runs, lambda x: x.rlike(r"^[1-9][0-9]*(?:st|nd|rd|th)$") | x.isin(ORDINALS))
+    if detector == "quarter":
+        return F.when(low.contains("q"), F.array_distinct(F.transform(_found(text, QUARTER), F.upper))).otherwise(none)
+    if detector == "version":
+        return F.when(low.contains("."), _found(low, VERSION)).otherwise(none)
+    if detector == "numeric":
+        return F.filter(_found(low, NUMBER), lambda x: ~x.rlike(r"^(?:19|20)[0-9]{2}$"))
+    return F.filter(F.array_except(name_tokens(text), _words(NOT_NAMES)), lambda x: F.length(x) > 2)
 
 
 def _verdict(detector: str, a: Column, b: Column, own_a: Column, own_b: Column, mine_a: Column, mine_b: Column) -> Column:
@@ -137,8 +153,9 @@ def with_entity_change(df: DataFrame, a: str, b: str, name: str, rules: EntityRu
         return df.withColumn(name, F.lit(None).cast("struct<detector:string,token_a:string,token_b:string>"))
     kept = df.columns
     sides = {"a": F.col(a), "b": F.col(b)}
-    staged = df.withColumns({f"_t_{s}": token_set(c) for s, c in sides.items()})
-    staged = staged.withColumns({f"_e_{d}_{s}": _entity_set(d, c, F.col(f"_t_{s}")) for d in active for s, c in sides.items()})
+    staged = df.withColumns({f"_l_{s}": F.lower(F.coalesce(c, F.lit(""))) for s, c in sides.items()})
+    staged = staged.withColumns({**{f"_t_{s}": token_set(F.col(f"_l_{s}")) for s in sides}, **{f"_r_{s}": _found(F.col(f"_l_{s}"), r"(?U)\w+") for s in sides}})
+    staged = staged.withColumns({f"_e_{d}_{s}": _entity_set(d, c, *[F.col(f"_{k}_{s}") for k in "ltr"]) for d in active for s, c in sides.items()})
     own = {f"_o_{d}_{s}": F.array_except(f"_e_{d}_{s}", f"_e_{d}_{o}") for d in active for s, o in (("a", "b"), ("b", "a"))}
     staged = staged.withColumns({**own, **{f"_m_{s}": F.arrays_overlap(f"_t_{s}", _words(POSSESSIVES)) for s in sides}})
     verdicts = [_verdict(d, *[F.col(f"_{k}_{d}_{s}") for k in "eo" for s in "ab"], F.col("_m_a"), F.col("_m_b")) for d in active]
@@ -151,35 +168,28 @@ def with_opposite_action(df: DataFrame, a: str, b: str, name: str, *, whole_word
     Words are looked for as substrings, or as whole words with ``whole_words``. Each word is looked for once per side.
     """
     terms = sorted({w for pair in OPPOSITES for w in pair} | set(NEGATABLE))
+    bit = {t: 1 << i for i, t in enumerate(terms)}
+    sides = {"a": F.col(a), "b": F.col(b)}
+    kept = df.columns
 
-    def has(text: Column, word: str) -> Column:
-        return text.rlike(rf"(?<![a-z']){word}(?![a-z'])") if whole_words else text.contains(word)
+    def has(side: str, word: str) -> str:
+        return f"rlike(_l_{side}, {_quoted(rf'(?<![a-z])' + word + rf'(?![a-z])')})" if whole_words else f"contains(_l_{side}, {_quoted(word)})"
 
-    def present(text: Column) -> Column:
-        return F.filter(F.array(*[F.when(has(text, t), F.lit(t)) for t in terms]), lambda x: x.isNotNull())
+    def mask(side: str) -> Column:
+        """One bit for each term that the text holds."""
+        return F.expr(" | ".join(f"(CASE WHEN {has(side, t)} THEN {n}L ELSE 0L END)" for t, n in bit.items()))
 
-    sides = {"a": F.col(a), "b": F.col(b)}
-    kept = df.columns
     staged = df.withColumns({f"_l_{s}": F.lower(F.coalesce(c, F.lit(""))) for s, c in sides.items()})
-    staged = staged.withColumns(
-        {**{f"_w_{s}": present(F.col(f"_l_{s}")) for s in sides}, **{f"_n_{s}": _any([has(F.col(f"_l_{s}"), n) for n in NEGATIONS]) for s in sides}, **{f"_d_{s}": _found(c, r"\b\d+\b") for s, c in sides.items()}}
-    )
-    staged = staged.withColumns({"_both": F.array_intersect("_w_a", "_w_b"), "_only_a": F.array_except("_w_a", "_w_b"), "_only_b": F.array_except("_w_b", "_w_a")})
-    only = lambda x, y: F.array_contains("_only_a", x) & F.array_contains("_only_b", y)
-    pairs = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in OPPOSITES])
-    antonyms = (F.size("_only_a") > 0) & (F.size("_only_b") > 0) & F.exists(pairs, lambda p: only(p["x"], p["y"]) | only(p["y"], p["x"]))
-    negation = F.arrays_overlap("_both", _words(NEGATABLE)) & (F.col("_n_a") != F.col("_n_b"))
+    negations = {f"_n_{s}": F.expr(" OR ".join(has(s, n) for n in NEGATIONS)) for s in sides}
+    staged = staged.withColumns({**{f"_w_{s}": mask(s) for s in sides}, **negations, **{f"_d_{s}": _found(c, r"\b\d+\b") for s, c in sides.items()}})
+    staged = staged.withColumns({"_only_a": F.expr("_w_a & ~_w_b"), "_only_b": F.expr("_w_b & ~_w_a")})
+    crossed = " OR ".join(f"((_only_a & {bit[x]}L) <> 0L AND (_only_b & {bit[y]}L) <> 0L) OR ((_only_a & {bit[y]}L) <> 0L AND (_only_b & {bit[x]}L) <> 0L)" for x, y in OPPOSITES)
+    antonyms = F.expr(f"_only_a <> 0L AND _only_b <> 0L AND ({crossed})")
+    negation = F.expr(f"(_w_a & _w_b & {sum(bit[k] for k in NEGATABLE)}L) <> 0L AND _n_a <> _n_b")
     numbers = (F.size("_d_a") > 0) & (F.size("_d_b") > 0) & ((F.size(F.array_except("_d_a", "_d_b")) > 0) | (F.size(F.array_except("_d_b", "_d_a")) > 0))
     return staged.withColumn(name, antonyms | negation | numbers).select(*[c for c in kept if c != name], name)
 
 
-def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 def estimated_tokens(text: Column) -> Column:
     """A quarter of the characters, at least one, and none for an empty or null text."""
     n = F.length(F.coalesce(text, F.lit("")))

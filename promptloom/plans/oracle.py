@@ -47,14 +47,19 @@ def _fold(items: str, how: str) -> str:
     return f"list_distinct(list_transform({items}, lambda y: {how}(y)))"
 
 
+_DATED = {
+    "ordinal": r"(?i)\b(?:" + "|".join(X.ORDINALS) + r"|[1-9][0-9]*(?:st|nd|rd|th))\b", "version": X.VERSION, "month": r"(?i)\b(?:" + "|".join(X.MONTHS) + r")\b", "day": r"(?i)\b(?:" + "|".join(X.DAYS) + r")\b",
+}
+
+
 def _set_pair(detector: str, side: str) -> str:
     if detector == "quarter":
         return _fold(_found(side, X.QUARTER), "upper")
-    if detector in ("year",):
-        return _found(side, X.YEAR)
+    if detector == "year":
+        return _found(side, r"\b(?:19|20)\d{2}\b")
     if detector == "numeric":
         return f"list_filter({_fold(_found(side, X.NUMBER), 'lower')}, lambda z: NOT regexp_matches(z, '^(?:19|20)\\d{{2}}$'))"
-    return _fold(_found(side, {"ordinal": X.ORDINAL, "version": X.VERSION, "month": X.MONTH, "day": X.DAY}[detector]), "lower")
+    return _fold(_found(side, _DATED[detector]), "lower")
 
 
 def _sets(detector: str, a: str, b: str) -> tuple[str, str]:
