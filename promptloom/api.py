@@ -103,14 +103,18 @@ class PromptCache:
         near = exact_topk(entries.select(F.col("entry_key").alias("entry_id"), F.col("prompt_embedding").alias("vec")), asked, dim=s.dim, k=s.candidates).withColumnRenamed("entry_id", "entry_key")
         stored = entries.select("entry_key", F.col("id").alias("entry_id"), F.col("prompt").alias("cached_prompt"), "response", "prompt_embedding")
         paired = L.salted_join(near, stored, ["entry_key"]).join(asked.select("query_id", "vec", F.col("prompt").alias("query_prompt")), "query_id").withColumnRenamed("score", "similarity_score")
+        columns = ["query_id", "rank", "entry_id", "cached_prompt", "response", "similarity_score", "classifier_score"]
+        shown = ["query_id", "prompt", "vec", "entry_id", "cached_prompt", "response", "similarity_score", "classifier_score", "cross_encoder_score", "decision", "reason"]
+        no_score = F.lit(None).cast("double")
         if self.pair_model is None:
-            scored = paired.withColumn("classifier_score", F.col("similarity_score"))
-            ladder = D.LadderSettings(tiers={"low": (s.cosine_threshold, 0.0)}, bypass=None, veto_opposites=False, rules=D.X.EntityRules(enabled=False))
-        else:
-            scored, ladder = self.pair_model.score(paired, "vec", "prompt_embedding"), s.ladder
-        best = D.best_candidates(scored.select("query_id", "rank", "entry_id", "cached_prompt", "response", "similarity_score", "classifier_score"))
-        whole = asked.join(best, "query_id", "left").withColumns({"query_prompt": F.col("prompt"), "domain": F.lit(self.domain), "cross_encoder_score": F.lit(None).cast("double")})
-        return D.decide(whole, ladder).select("query_id", "prompt", "vec", "entry_id", "cached_prompt", "response", "similarity_score", "classifier_score", "cross_encoder_score", "decision", "reason")
+            best = paired.where("rank = 1").withColumn("classifier_score", no_score).select(*columns)
+            hit = F.col("similarity_score") >= s.cosine_threshold
+            reason = F.when(F.col("entry_id").isNull(), "no_candidates_found").when(hit, "passed_cosine_threshold").otherwise("failed_cosine_threshold")
+            plain = asked.join(best, "query_id", "left").withColumns({"cross_encoder_score": no_score, "reason": reason, "decision": F.when(hit, "hit").otherwise("miss")})
+            return plain.select(*shown)
+        best = D.best_candidates(self.pair_model.score(paired, "vec", "prompt_embedding").select(*columns))
+        whole = asked.join(best, "query_id", "left").withColumns({"query_prompt": F.col("prompt"), "domain": F.lit(self.domain), "cross_encoder_score": no_score})
+        return D.decide(whole, s.ladder).select(*shown)
 
     def get_or_call(self, queries: DataFrame, model: Callable[[str], str], *, model_name: str | None = None, as_of: datetime | None = None) -> DataFrame:
         """Answer a batch: hits from the cache, misses by the model, whose replies become entries.

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql import types as T
 
 # Support words and the axis each stands for; all other words share the last axis.
 SUPPORT_AXES = {
@@ -78,25 +78,27 @@ def network_score(a: str, b: str, layers: list[tuple[np.ndarray, np.ndarray]], d
     """Add the probability of a small ReLU network over :func:`pair_features` of unit vectors, in Arrow batches."""
     shared = df.sparkSession.sparkContext.broadcast([(np.asarray(w, np.float64), np.asarray(c, np.float64)) for w, c in layers])
 
-    @pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.DoubleType())])
+    kept = [f.name for f in schema.fields[:-1]]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for left, right in batches:
-            if not len(left):
-                yield pd.Series([], dtype="float64")
-                continue
-            x, y = unit_rows(left), unit_rows(right)
-            h = np.concatenate([x, y, np.abs(x - y), x * y], axis=1)
-            for depth, (w, c) in enumerate(weights):
-                h = h @ w + c
-                if depth + 1 < len(weights):
-                    h = np.maximum(h, 0.0)
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(h[:, 0], -700, 700))))
-
-    return df.withColumn(name, score(F.col(a), F.col(b)))
-
-
-def unit_rows(vectors: pd.Series) -> np.ndarray:
+        for batch in batches:
+            out = np.empty(0)
+            if batch.num_rows:
+                x, y = unit_rows(batch.column(a).to_pylist()), unit_rows(batch.column(b).to_pylist())
+                h = np.concatenate([x, y, np.abs(x - y), x * y], axis=1)
+                for depth, (w, c) in enumerate(weights):
+                    h = h @ w + c
+                    if depth + 1 < len(weights):
+                        h = np.maximum(h, 0.0)
+                out = 1.0 / (1.0 + np.exp(-np.clip(h[:, 0], -700, 700)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.float64())], [*kept, name])
+
+    return df.mapInArrow(score, schema)
+
+
+def unit_rows(vectors: Sequence) -> np.ndarray:
     rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     length = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(length == 0, 1.0, length)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import vectors as V
 from promptloom.operators import metrics as M
+from promptloom.runtime import materialize
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,8 @@ def _step(layers, moments, x, y, weight, settings: TrainSettings, rng, step: int
 def evaluate(model: PairModel, pairs: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Confusion counts, rates, AUC and calibration error of a model on labelled pairs with vectors."""
     keys = group or ["all"]
-    scored = model.score(pairs, "vec_a", "vec_b", "score").withColumn("all", F.lit("all"))
+    rated = model.score(pairs, "vec_a", "vec_b", "score").withColumn("all", F.lit("all"))
+    scored = materialize(rated.select(*keys, "label", "score"))
     base = M.binary_metrics(scored, keys, threshold=model.threshold)
     return base.join(M.roc_auc(scored, keys).select(*keys, "auc"), keys, "left").join(M.calibration_error(scored, keys).select(*keys, "ece"), keys, "left")
 
