@@ -287,3 +287,10 @@ WHERE prompt_a IS NOT NULL AND lower(trim(prompt_a)) <> coalesce(lower(trim(prom
 ORACLE_SQL["stratified_split"] = """WITH r AS (SELECT pair_id, source, row_number() OVER (PARTITION BY source ORDER BY pair_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM equivalence_gold)
 SELECT pair_id, source, CASE WHEN rn <= greatest(1, least(greatest(n - 1, 1), round_even(n * 0.85, 0))) THEN 'train' ELSE 'validation' END AS part FROM r"""
 ORACLE_SQL["training_union"] = f"SELECT source, label, count(*) AS rows FROM (SELECT source, label FROM ({_FEEDBACK}) UNION ALL SELECT source, label FROM equivalence_gold) GROUP BY ALL"
+
+ORACLE_SQL["entry_by_id"] = "SELECT id, prompt, response, model FROM cache_entries WHERE id = (SELECT min(id) FROM cache_entries)"
+ORACLE_SQL["entries_in_order"] = "SELECT id, created_at FROM cache_entries ORDER BY created_at, id"
+ORACLE_SQL["feedback_in_order"] = "SELECT DISTINCT id, query_id, label, created_at FROM feedback_events ORDER BY created_at, id"
+ORACLE_SQL["served_answers"] = _DECIDED + f"""SELECT f.query_id, decision, CASE WHEN decision = 'hit' THEN response END AS answer, (CASE WHEN decision = 'hit' THEN {_TOKENS.format(c='response')} ELSE 0 END)::BIGINT AS tokens_saved
+FROM final f JOIN (SELECT DISTINCT query_id, cache_entry_id FROM lookup_records) l ON l.query_id = f.query_id JOIN cache_entries c ON c.id = l.cache_entry_id"""
+ORACLE_SQL["pairs_roundtrip"] = f"SELECT prompt_a, prompt_b, label, domain, source, coalesce(split, 'train') AS split FROM equivalence_gold WHERE ({_CHECK}) IS NULL"

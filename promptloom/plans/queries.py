@@ -18,10 +18,12 @@ from promptloom.operators import decision as D
 from promptloom.operators import knn as K
 from promptloom.operators import ledger as L
 from promptloom.operators import metrics as M
+from promptloom.operators import pairmodel as PM
 from promptloom.operators import pairs as P
 from promptloom.plans.oracle import ORACLE_SQL  # noqa: F401
 from promptloom.runtime import shared_dir, spread
 from promptloom.schemas import PAIRS, conform
+from promptloom.sources.pairs_io import read_pairs, write_pairs
 from promptloom.streaming.reissue import reissue_stream
 from promptloom.streaming.replay import ReplaySettings, exact_replay
 
@@ -447,3 +449,48 @@ def replay_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact replay of all vectors, one cache instance per label."""
     calls = _vectors(spark, sf_dir).select(F.col("label").cast("string").alias("instance"), F.col("vec_id").alias("seq"), F.col("vec_id").cast("double").alias("at_seconds"), "vec")
     return exact_replay(calls, ReplaySettings(threshold=0.4, max_entries=1000, ttl_seconds=None))
+
+
+@query
+def entry_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "cache_entries")
+    wanted = entries.agg(F.min("id")).first()[0]
+    return entries.where(F.col("id") == wanted).select("id", "prompt", "response", "model")
+
+
+@query
+def entries_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "cache_entries").select("id", "created_at").orderBy("created_at", "id")
+
+
+@query
+def feedback_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "feedback_events").select("id", "query_id", "label", "created_at").distinct().orderBy("created_at", "id")
+
+
+@query
+def served_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each decided lookup is answered with: the stored response on a hit, and the tokens that saves."""
+    decided = D.decide(_lookup_pairs(spark, sf_dir), LADDER).select("query_id", "cache_entry_id", "decision")
+    stored = table(spark, sf_dir, "cache_entries").select(F.col("id").alias("cache_entry_id"), "response")
+    hit = F.col("decision") == "hit"
+    joined = L.salted_join(decided, stored, ["cache_entry_id"])
+    return joined.select("query_id", "decision", F.when(hit, F.col("response")).alias("answer"), F.when(hit, X.estimated_tokens(F.col("response"))).otherwise(0).cast("long").alias("tokens_saved"))
+
+
+@query
+def pairs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid pairs written as JSON lines to the shared folder and read back."""
+    good, _ = P.checked_pairs(conform(table(spark, sf_dir, "equivalence_gold"), PAIRS))
+    path = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"
+    write_pairs(good, path)
+    return read_pairs(spark, path)
+
+
+@query
+def pair_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network trained on the training split with hash embeddings and measured on the others."""
+    good, _ = P.checked_pairs(conform(table(spark, sf_dir, "equivalence_gold"), PAIRS))
+    pairs = PM.embedded(good.withColumn("split", F.lower(X.strip_space(F.col("split")))), lambda c: V.hash_embedding(c, 32).cast("array<float>"))
+    model = PM.train(pairs.where("split = 'train'"), dim=32, settings=PM.TrainSettings(epochs=2, max_rows=20_000))
+    return PM.evaluate(model, pairs.where("split <> 'train'").select("split", "label", "vec_a", "vec_b"), ["split"])
