@@ -85,4 +85,11 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_report, p5_sample, p6_ids, p7_packed, p7_report, p8_pieces)}
-ORACLE_SQL: dict[str, str] = {}
+
+_CLEAN = r"lower(regexp_replace(regexp_replace({c}, '^[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g'), '[\s\-_]+', '-', 'g'))"
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": f"""WITH c AS (SELECT {_CLEAN.replace('{c}', 'domain')} AS d, label, source, count(*) AS k FROM equivalence_gold WHERE domain IS NOT NULL AND label IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+n AS (SELECT count(*) // 5 AS n FROM equivalence_gold)
+SELECT t.domain, t.label, t.source FROM sample_targets t CROSS JOIN n LEFT JOIN c ON c.d = {_CLEAN.replace('{c}', 't.domain')} AND c.label = t.label AND c.source = t.source
+WHERE coalesce(c.k, 0) < greatest(t.min_rows, ceil(round(t.target_share * n.n, 6)))""",
+}
