@@ -294,3 +294,8 @@ ORACLE_SQL["feedback_in_order"] = "SELECT DISTINCT id, query_id, label, created_
 ORACLE_SQL["served_answers"] = _DECIDED + f"""SELECT f.query_id, decision, CASE WHEN decision = 'hit' THEN response END AS answer, (CASE WHEN decision = 'hit' THEN {_TOKENS.format(c='response')} ELSE 0 END)::BIGINT AS tokens_saved
 FROM final f JOIN (SELECT DISTINCT query_id, cache_entry_id FROM lookup_records) l ON l.query_id = f.query_id JOIN cache_entries c ON c.id = l.cache_entry_id"""
 ORACLE_SQL["pairs_roundtrip"] = f"SELECT prompt_a, prompt_b, label, domain, source, coalesce(split, 'train') AS split FROM equivalence_gold WHERE ({_CHECK}) IS NULL"
+ORACLE_SQL["stream_reissued"] = ORACLE_SQL["reissued_lookups"]
+_MUTATED = " UNION ALL ".join(f"SELECT {_q(n)} AS mutation, pair_id, mutated FROM ({ORACLE_SQL[f'mutate_{n}']})" for n in U.MUTATIONS)
+ORACLE_SQL["mutation_report"] = f"""WITH m AS ({_MUTATED}), keyed AS (SELECT mutation || ':' || m.pair_id AS key, mutation, mutated AS a, g.prompt_a AS b FROM m JOIN equivalence_gold g ON g.pair_id = m.pair_id),
+changed AS ({_first_entity('keyed')}), d AS (SELECT mutation, k.b IS NULL OR {_opposite('k.a', 'k.b')} OR c.detector IS NOT NULL AS missed FROM keyed k LEFT JOIN changed c ON c.key = k.key)
+SELECT mutation, count_if(NOT missed) AS hits, count_if(missed) AS misses FROM d GROUP BY mutation"""
