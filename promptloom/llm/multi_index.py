@@ -40,6 +40,8 @@ class IndexSettings:
     least_cells: int = 24
     #: Entries that one task holds at a time.
     block_entries: int = 50_000
+    #: A cell with more entries gets an index of its own, by the same method, on what is left after its mean.
+    crowded_cell: int = 4096
 
 
 def fit_codebook(points: np.ndarray, count: int, iterations: int, seed: int = 7) -> np.ndarray:
@@ -208,10 +210,39 @@ def _query_visits(books, settings: IndexSettings):
     return visit
 
 
+class _Crowd:
+    """Second level for a cell that holds very many near-equal vectors: a multi-index of their differences from the mean."""
+
+    def __init__(self, unit: np.ndarray, start: int, settings: IndexSettings) -> None:
+        self.settings, self.half = settings, settings.dim // 2
+        self.mean = unit.mean(axis=0)
+        self.scale = float(np.abs(unit - self.mean).max()) or 1.0
+        rest = self._rest(unit)
+        count = int(min(settings.max_centroids, max(2, math.sqrt(len(unit) / settings.per_cell))))
+        sample = rest[:: max(1, len(rest) // (settings.sample_per_centroid * count))]
+        self.books = [fit_codebook(sample[:, : self.half], count, settings.iterations), fit_codebook(sample[:, self.half :], count, settings.iterations)]
+        width = len(self.books[1])
+        cell = nearest_centroids(rest[:, : self.half], self.books[0]) * width + nearest_centroids(rest[:, self.half :], self.books[1])
+        order = cell.argsort(kind="stable")
+        self.at = order + start
+        self.bounds = np.searchsorted(cell[order], np.arange(len(self.books[0]) * width + 1))
+        self.sizes = np.diff(self.bounds).reshape(len(self.books[0]), width)
+
+    def _rest(self, unit: np.ndarray) -> np.ndarray:
+        return ((unit - self.mean) / self.scale).astype(np.float32)
+
+    def near(self, unit: np.ndarray) -> np.ndarray:
+        rest = self._rest(unit[None, :])
+        d1, d2 = half_distances(rest[:, : self.half], self.books[0])[0], half_distances(rest[:, self.half :], self.books[1])[0]
+        cells = visit_cells(d1, d2, self.sizes, self.settings.candidates, self.settings.least_cells)
+        return np.concatenate([self.at[self.bounds[c] : self.bounds[c + 1]] for c in cells])
+
+
 class _Block:
     """Entries of one chunk of a block, by cell, ready for exact comparison."""
 
-    def __init__(self, batches: list[pa.RecordBatch], dim: int) -> None:
+    def __init__(self, batches: list[pa.RecordBatch], settings: IndexSettings) -> None:
+        dim = settings.dim
         table = pa.Table.from_batches(batches)
         cell = np.array([c[0] for c in table.column("cells").to_pylist()], dtype=np.int64)
         order = cell.argsort(kind="stable")
@@ -220,14 +251,15 @@ class _Block:
         sorted_cells = cell[order]
         starts = np.flatnonzero(np.append(True, sorted_cells[1:] != sorted_cells[:-1]))
         self.range = {int(sorted_cells[s]): (int(s), int(e)) for s, e in zip(starts, np.append(starts[1:], len(cell)))}
+        self.crowds = {c: _Crowd(self.unit[a:b], a, settings) for c, (a, b) in self.range.items() if b - a > settings.crowded_cell}
         self.rank = np.empty(len(cell), dtype=np.int64)
         self.rank[sorted(range(len(cell)), key=lambda i: self.ids[i][0])] = np.arange(len(cell))
 
     def best(self, unit: np.ndarray, cells: list[int], k: int) -> list[dict]:
-        spans = [self.range[c] for c in cells if c in self.range]
+        spans = [self.crowds[c].near(unit) if c in self.crowds else np.arange(*self.range[c]) for c in cells if c in self.range]
         if not spans:
             return []
-        near = np.concatenate([np.arange(s, e) for s, e in spans])
+        near = np.concatenate(spans)
         score = np.round(self.unit[near] @ unit, 6)
         top = np.lexsort((self.rank[near], -score))[:k]
         return [{"far": -float(score[t]), "ids": self.ids[near[t]]} for t in top]
@@ -254,7 +286,7 @@ def _scan(settings: IndexSettings):
                     held.append(part)
                     continue
                 if index is None and held:
-                    index, held = _Block(held, settings.dim), []
+                    index, held = _Block(held, settings), []
                 if index is None:
                     continue
                 unit = _matrix(part.column("vec"), settings.dim)

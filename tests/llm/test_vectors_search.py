@@ -45,6 +45,24 @@ def test_recall_and_ties(spark):
     assert set(found[("entry", "h0029")]) == {"e0000", "h0000", "h0001"}
 
 
+def test_crowded_cells_are_indexed_again(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=DIM)
+    vectors = {f"c{i:04}": (base + 0.002 * rng.normal(size=DIM)).astype(np.float32) for i in range(1500)} | {f"o{i:03}": rng.normal(size=DIM).astype(np.float32) for i in range(100)}
+    settings = M.IndexSettings(dim=DIM, k=3, candidates=60, least_cells=30, block_entries=700, crowded_cell=100, max_centroids=12)
+    entries = M.usable_vectors(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id string, vec array<float>"), "id", "vec", DIM)
+    found: dict = {}
+    for r in M.nearest_entries(entries, spark.createDataFrame([], "side string, query_id string, vec binary"), settings).collect():
+        found.setdefault(r.query_id, set()).add(r.similarity)
+    ids = sorted(vectors)
+    x = np.stack([vectors[i] for i in ids]).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 6)
+    np.fill_diagonal(s, -2)
+    near = sum(min(found[i]) >= np.sort(s[n])[-3] - 2e-6 for n, i in enumerate(ids))
+    assert len(found) == len(ids) and near / len(ids) > 0.9
+
+
 def test_few_or_no_entries(spark):
     none = spark.createDataFrame([], "id string, vec binary")
     asked = spark.createDataFrame([], "side string, query_id string, vec binary")
