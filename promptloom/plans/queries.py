@@ -21,7 +21,7 @@ from promptloom.operators import metrics as M
 from promptloom.operators import pairmodel as PM
 from promptloom.operators import pairs as P
 from promptloom.plans.oracle import ORACLE_SQL  # noqa: F401
-from promptloom.runtime import shared_dir, spread
+from promptloom.runtime import shared_dir, shuffle_width, spread
 from promptloom.schemas import PAIRS, conform
 from promptloom.sources.pairs_io import read_pairs, write_pairs
 from promptloom.streaming.reissue import reissue_stream
@@ -111,7 +111,8 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lookup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each lookup once, with the prompt of the entry it hit."""
-    calls = table(spark, sf_dir, "lookup_records").drop("query_embedding").distinct()
+    width = max(shuffle_width(spark), 2 * spark.sparkContext.defaultParallelism)  # the text rules need all cores, so the parts are not merged
+    calls = table(spark, sf_dir, "lookup_records").drop("query_embedding").repartition(width, "query_id").distinct()
     prompts = table(spark, sf_dir, "cache_entries").select(F.col("id").alias("cache_entry_id"), F.col("prompt").alias("cached_prompt"))
     domain = F.lower(F.regexp_replace(X.strip_space(F.col("domain")), r"[ _]", "-"))
     return L.salted_join(calls, prompts, ["cache_entry_id"]).withColumn("domain", domain)
