@@ -62,6 +62,7 @@ _PICTURE_END = re.compile(r"(?:[\U0001F300-\U0001FAFF☀-➿]️?|[;:]-?[)(DP])$
 _ASIDE_END = re.compile(r"\([^()]{2,60}[.!]?\)$")
 _SIGNATURE = re.compile(r"^(?:[—–-]{1,2} ?\S|(?:kind|best) regards|with best wishes|mit freundlichen|cordialement|saludos)", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+(\S.*)$")
+_BARE_MARKER = re.compile(r"^(?:[-*•–]|(\d{1,3})[.)])$")
 _TOKENS = re.compile(r"[^\W_]+")
 _SENTENCE_SPLIT = re.compile(r"(?<=[.!?:])\s+|\n+")
 _LOOSE_WORDS = set("the a an of to in for and or with at by from is are that this than der die das und oder mit für von zu auf bei le la les des de du et ou pour dans que el los las y o del con por para que un una une ein eine".split())
@@ -132,6 +133,9 @@ def tail_state(response: str) -> str:
         if announced is not None and len(items) < announced:
             return "broken"
     last = lines[-1].strip()
+    bare = _BARE_MARKER.match(last) if len(lines) > 1 else None
+    if bare and (items or bare[1] in (None, "1")):
+        return "broken"  # the next item was begun; another number alone on its line may be the answer
     if not items and last.endswith(":"):
         return "broken"
     if not items and _announced(lines[-1].strip()) and re.search(r"\b(?:points|things|parts|steps|reasons|punkte|schritte|gründe|points|étapes|raisons|puntos|pasos|razones)\b", last, re.I) and len(last) < 60:

@@ -65,3 +65,10 @@ def test_signals():
     assert language_of("La cola omite el aviso de seguridad y nadie se opuso.") == "es"
     assert language_of("12345") is None
     assert is_placeholder("...") and is_placeholder("null") and not is_placeholder("Approved")
+
+
+@pytest.mark.parametrize("text,state", [
+    ("1. Write down every change.\n2. Attach the exchange.\n3.", "broken"), ("- Write it down.\n-", "broken"), ("Do it so.\n\n1)", "broken"), ("1. Write it down.\n\nThen wait.", "complete"), ("The total is\n42.", "complete"), ("5.", "complete"),
+])
+def test_bare_list_marker_is_cut(text, state):
+    assert P.tail_state(text) == state
