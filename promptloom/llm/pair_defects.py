@@ -63,6 +63,7 @@ _ASIDE_END = re.compile(r"\([^()]{2,60}[.!]?\)$")
 _SIGNATURE = re.compile(r"^(?:[—–-]{1,2} ?\S|(?:kind|best) regards|with best wishes|mit freundlichen|cordialement|saludos)", re.I)
 _ITEM = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+(\S.*)$")
 _BARE_MARKER = re.compile(r"^(?:[-*•–]|(\d{1,3})[.)])$")
+_ITEM_START = re.compile(r"^\s*(?:[-*•–]|\d{1,3}[.)])\s+", re.M)
 _TOKENS = re.compile(r"[^\W_]+")
 _SENTENCE_SPLIT = re.compile(r"(?<=[.!?:])\s+|\n+")
 _LOOSE_WORDS = set("the a an of to in for and or with at by from is are that this than der die das und oder mit für von zu auf bei le la les des de du et ou pour dans que el los las y o del con por para que un una une ein eine".split())
@@ -71,8 +72,10 @@ _SOFTENER_RE = re.compile("|".join(f"(?:{p})" for p in SOFTENER_PATTERNS))
 
 #: Words a lone reply without end mark may have before it counts as a broken sentence.
 SHORT_REPLY_WORDS = 6
-#: Words a lone reply needs before a longer neighbour proves that it was cut.
+#: Words a reply or list without end marks needs before a longer neighbour proves that it was cut.
 NEIGHBOUR_WORDS = 4
+#: White space at the end of a response, which does not make another one.
+_WHITE = " \t\n\r\f\v\u00a0\u2028\u2029\u3000"
 
 
 def is_copy(prompt: str, response: str) -> bool:
@@ -113,8 +116,15 @@ def _announced(line: str) -> int | None:
     return int(numbers[0]) if line.rstrip().endswith((":", ".")) and len(line) <= 120 else None
 
 
+def _listed(text: str) -> tuple[list[str], list[int], int | None]:
+    """Lines that are not blank, positions of the list items among them, and the number of items announced before."""
+    lines = [line for line in text.split("\n") if line.strip()]
+    items = [i for i, line in enumerate(lines) if _ITEM.match(line)]
+    return lines, items, _announced(lines[items[0] - 1].strip()) if items and items[0] > 0 else None
+
+
 def tail_state(response: str) -> str:
-    """``complete``, ``broken`` (stops before it is done) or ``open`` (may be a short reply or a cut one)."""
+    """``complete``, ``broken`` (stops before it is done) or ``open`` (a short reply or a list without end marks, whole or cut)."""
     text = response.strip()
     if is_placeholder(text):
         return "complete"
@@ -126,12 +136,9 @@ def tail_state(response: str) -> str:
         return "complete"
     if _MARKER_END.search(text):
         return "broken"
-    lines = [line for line in text.split("\n") if line.strip()]
-    items = [i for i, line in enumerate(lines) if _ITEM.match(line)]
-    if items and items[0] > 0:
-        announced = _announced(lines[items[0] - 1].strip())
-        if announced is not None and len(items) < announced:
-            return "broken"
+    lines, items, announced = _listed(text)
+    if announced is not None and len(items) < announced:
+        return "broken"
     last = lines[-1].strip()
     bare = _BARE_MARKER.match(last) if len(lines) > 1 else None
     if bare and (items or bare[1] in (None, "1")):
@@ -142,9 +149,9 @@ def tail_state(response: str) -> str:
         return "broken"
     if items and items[-1] == len(lines) - 1:
         ended = [bool(_TERMINAL.search(lines[i].strip())) for i in items]
-        if ended[-1] or (not any(ended[:-1]) and not last.rstrip().endswith((",", "-", "…", "..."))):
-            return "broken" if ended[-1] and _ABBREVIATION_END.search(last) else "complete"
-        return "broken"
+        if ended[-1]:
+            return "broken" if _ABBREVIATION_END.search(last) else "complete"
+        return "broken" if any(ended[:-1]) or last.endswith((",", "-", "…", "...")) else "open"
     if _PICTURE_END.search(text) or (len(lines) > 1 and _SIGNATURE.match(last)):
         return "complete"
     if _ASIDE_END.search(text) and _TERMINAL.search(text[: text.rfind("(")].strip() or "."):
@@ -159,46 +166,59 @@ def tail_state(response: str) -> str:
     return "open"
 
 
-def local_verdict(prompt: str | None, response: str | None) -> str | None:
-    """The defect that a pair shows by itself, ``open`` if the corpus has to decide, None if it has none."""
+def _pair_verdict(prompt: str | None, response: str | None) -> tuple[str | None, bool]:
+    """The defect that a pair shows by itself, and whether the corpus may still show that the response is cut."""
     if response is None or is_placeholder(response):
-        return "empty"
+        return "empty", False
     prompt = prompt or ""
     if is_copy(prompt, response):
-        return "copied"
+        return "copied", False
     if is_refusal(response):
-        return "refusal"
+        return "refusal", False
     state = tail_state(response)
     if state == "broken":
-        return "truncated"
+        return "truncated", False
     spoken = language_of(response, prose_only=True)
     if spoken is not None:
         asked = language_of(prompt, least=1.5, ratio=1.2)
         if asked is not None and spoken != asked and spoken not in languages_named(prompt):
-            return "language"
-    return "open" if state == "open" else None
+            return "language", state == "open"
+    return None, state == "open"
+
+
+def local_verdict(prompt: str | None, response: str | None) -> str | None:
+    """The defect that a pair shows by itself, ``open`` if the corpus has to decide, None if it has none."""
+    defect, is_open = _pair_verdict(prompt, response)
+    return defect or ("open" if is_open else None)
 
 
 def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, prompts, responses = (batch.column(i).to_pylist() for i in range(3))
-        found = [local_verdict(p, r) for p, r in zip(prompts, responses)]
-        keep = [i for i, f in enumerate(found) if f is not None]
+        found = [_pair_verdict(p, r) for p, r in zip(prompts, responses)]
+        keep = [i for i, f in enumerate(found) if f != (None, False)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in keep], pa.string()), pa.array([found[i] for i in keep], pa.string()), pa.array([responses[i] if found[i] == "open" else None for i in keep], pa.string())],
+            [pa.array([ids[i] for i in keep], pa.string()), pa.array([found[i][0] for i in keep], pa.string()), pa.array([responses[i] if found[i][1] else None for i in keep], pa.string())],
             ["id", "defect", "response"],
         )
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In sorted responses a text that some other one extends is extended by its next different neighbour."""
-    before: str | None = None
+    """Sorted responses that a later one continues; those that begin the current one are kept until one does."""
+    begun: list[str] = []
     for batch in batches:
         cut = []
         for text in batch.column(1).to_pylist():
-            if before is not None and text != before and text.startswith(before) and _cut_by(before, text):
-                cut.append(before)
-            before = text
+            while begun and not text.startswith(begun[-1]):
+                begun.pop()
+            if begun and begun[-1] == text:
+                continue
+            if begun:
+                begun = [short for short in begun if tail_state(short) != "complete"]
+                proven = {short for short in begun if _cut_by(short, text)}
+                cut.extend(proven)
+                begun = [short for short in begun if short not in proven]
+            begun.append(text)
         yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], ["response"])
 
 
@@ -209,16 +229,20 @@ def _cut_by(short: str, long: str) -> bool:
     rest = long[len(short) :]
     if re.sub(r"\d+", "0", short) == re.sub(r"\d+", "0", long):
         return False
+    if rest[:1].isspace() and "\n" in rest[: len(rest) - len(rest.lstrip())]:
+        _, items, announced = _listed(short)
+        if announced is not None and len(items) >= announced:
+            return False
     inside_word = short[-1:].isalpha() and rest[:1].isalpha()
-    return inside_word or len(short.split()) >= NEIGHBOUR_WORDS
+    return inside_word or len(_ITEM_START.sub("", short).split()) >= NEIGHBOUR_WORDS
 
 
 def cut_responses(responses: DataFrame, *, rows_per_bucket: int = 25_000, split_sample: int = 20_000) -> DataFrame:
-    """Distinct unfinished responses that a neighbour in sorted order continues.
+    """Distinct unfinished responses that another one, later in sorted order, continues.
 
     ``responses`` has one column ``response``. Sorted buckets are cut at quantiles of a sample of at most
     about ``split_sample`` beginnings, which only places the cuts; a text that begins the next bucket's first key also goes
-    there, so no pair of neighbours is parted.
+    there, so every text meets all that it begins.
     """
     texts = responses.where("response is not null").groupBy("response").agg(F.count("*").alias("n")).select("response")
     total = responses.count()
@@ -266,10 +290,11 @@ def pair_defects(entries: DataFrame, *, id_col: str = "id", prompt_col: str = "p
     """
     base = entries.select(F.col(id_col).cast("string").alias("id"), F.col(prompt_col).cast("string").alias("prompt"), F.col(response_col).cast("string").alias("response"))
     judged = materialize(base.mapInArrow(_verdicts, "id string, defect string, response string"))
-    settled = judged.where("defect <> 'open'").select("id", "defect")
-    waiting = judged.where("defect = 'open'").select("id", "response")
-    texts = base.select("response")
-    by_neighbour = waiting.join(cut_responses(texts), "response", "left_semi").select("id")
-    by_length = waiting.withColumn("len", F.length("response")).join(spiked_lengths(texts), "len", "left_semi").select("id")
-    late = by_neighbour.unionByName(by_length).distinct().withColumn("defect", F.lit("truncated"))
-    return settled.unionByName(late)
+    settled = judged.where("response is null").select("id", "defect")
+    waiting = judged.where("response is not null").withColumn("len", F.length("response"))
+    trimmed = F.rtrim(F.col("response"), F.lit(_WHITE)).alias("response")
+    cut = cut_responses(base.select(trimmed)).withColumn("_cut", F.lit(True))
+    spikes = spiked_lengths(base.select("response").distinct()).withColumn("_spike", F.lit(True))  # copies of one text are no limit
+    late = waiting.select("id", "defect", "len", trimmed).join(cut, "response", "left").join(spikes, "len", "left")
+    decided = late.withColumn("defect", F.when(F.col("_cut") | F.col("_spike"), "truncated").otherwise(F.col("defect")))
+    return settled.unionByName(decided.where("defect is not null").select("id", "defect"))

@@ -72,3 +72,24 @@ def test_signals():
 ])
 def test_bare_list_marker_is_cut(text, state):
     assert P.tail_state(text) == state
+
+
+def test_lists_without_end_marks_are_decided_by_the_corpus(spark):
+    items = "- keep the sleep diary{x}\n- ask the night crew{x}"
+    data = [("1", items.format(x="")), ("2", items.format(x="") + "\n"), ("3", items.format(x="") + "\n- sign the last page"), ("4", items.format(x=" 5")), ("5", items.format(x=" 5") + "8"), ("6", items.format(x=" 5") + " times\n- sign it")]
+    data += [("7", "There are 2 points:\n" + items.format(x="")), ("8", "There are 2 points:\n" + items.format(x="") + "\n- sign the last page"), ("9", "- yes\n- no"), ("10", "- yes\n- no\n- perhaps")]
+    df = spark.createDataFrame([(i, PROMPT, r) for i, r in data + data[:1]], "id string, prompt string, response string")
+    assert sorted((r.id, r.defect) for r in P.pair_defects(df).collect()) == [(i, "truncated") for i in ("1", "1", "2", "4")]
+
+
+def test_length_limit_decides_on_lists(spark):
+    cut = [(f"s{i}", "- " + f"keep the sleep diary {i:02d}\n- ask the night crew at Ulm") for i in range(30)]
+    many = [(f"m{i}", "- the same list again and again, kept in many rows\n- end") for i in range(90)]
+    df = spark.createDataFrame([(i, PROMPT, r) for i, r in cut + many], "id string, prompt string, response string")
+    assert {r.id for r in P.pair_defects(df).collect()} == {i for i, _ in cut}
+
+
+def test_cut_comes_before_language(spark):
+    text = "- Die Schichtleitung prüft die Angaben\n- Der Schritt ist danach nicht mehr offen"
+    df = spark.createDataFrame([("1", PROMPT, text), ("2", PROMPT, text + "\n- Das ist alles und nicht mehr")], "id string, prompt string, response string")
+    assert {r.id: r.defect for r in P.pair_defects(df).collect()} == {"1": "truncated", "2": "language"}
