@@ -116,6 +116,23 @@ def _announced(line: str) -> int | None:
     return int(numbers[0]) if line.rstrip().endswith((":", ".")) and len(line) <= 120 else None
 
 
+def _balanced(text: str) -> bool:
+    """Every bracket and string that a record opens is closed; brackets inside strings do not count."""
+    expected: list[str] = []
+    quoted = escaped = False
+    for c in text:
+        if quoted:
+            quoted = escaped or c != '"'
+            escaped = c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            expected.append("}" if c == "{" else "]")
+        elif c in "}]" and expected and expected[-1] == c:
+            expected.pop()
+    return not expected and not quoted
+
+
 def _listed(text: str) -> tuple[list[str], list[int], int | None]:
     """Lines that are not blank, positions of the list items among them, and the number of items announced before."""
     lines = [line for line in text.split("\n") if line.strip()]
@@ -131,7 +148,7 @@ def tail_state(response: str) -> str:
     if text.count("```") % 2:
         return "broken"
     if text[:1] in "{[" and re.match(r'[{\[]\s*(?:["{\[\d]|$)', text):
-        return "complete" if parses_as_record(text) or text.rstrip()[-1:] in "}]" else "broken"
+        return "complete" if parses_as_record(text) or (text[-1:] in "}]" and _balanced(text)) else "broken"
     if text.endswith("```"):
         return "complete"
     if _MARKER_END.search(text):

@@ -93,3 +93,11 @@ def test_cut_comes_before_language(spark):
     text = "- Die Schichtleitung prüft die Angaben\n- Der Schritt ist danach nicht mehr offen"
     df = spark.createDataFrame([("1", PROMPT, text), ("2", PROMPT, text + "\n- Das ist alles und nicht mehr")], "id string, prompt string, response string")
     assert {r.id: r.defect for r in P.pair_defects(df).collect()} == {"1": "truncated", "2": "language"}
+
+
+@pytest.mark.parametrize("text,state", [
+    ('{"client": "Ulm", "items": [60, 94]', "broken"), ('{"a": {"b": 1}', "broken"), ('[{"a": 1}, {"a": 2}', "broken"), ('{"note": "see [4]', "broken"), ('{"a": "x\\"}', "broken"),
+    ('{"a": "[{"}\n{"a": "\\"["}', "complete"), ('{"a": 1,, "b": [2]}', "complete"), ('{"a": "}"}', "complete"), ('[1, 2]]', "complete"),
+])
+def test_record_cut_after_an_inner_bracket(text, state):
+    assert P.tail_state(text) == state
