@@ -1,8 +1,9 @@
 """Problem 4: evaluation records that also occur, exactly or almost, in the training split.
 
 Records are hashed in a canonical form: case, punctuation and white space gone, words without content
-dropped and slips inside words undone. Slips are found corpus-wide: a word is taken for a slip if a far more
-frequent word lies within two letters of it, which a join on deletion variants finds without comparing all words.
+dropped and slips inside words undone. Slips are found corpus-wide: a word is taken for a slip if a word in far
+more different records lies within two letters of it, which a join on deletion variants finds without comparing
+all words. Rare words have no such evidence; records that differ in nothing else are compared word by word.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ EMPTY_WORDS = {
 }
 # Courtesies of several words.
 EMPTY_PHRASES = [("thank", "you", "very", "much"), ("thank", "you"), ("for", "me"), ("many", "thanks"), ("if", "you", "please"), ("s", "il", "vous", "plaît"), ("s", "il", "te", "plaît"), ("por", "favor"), ("vielen", "dank")]
-#: How many times as frequent a word must be as one that is taken for a slip of it.
+#: Words of courtesies, which are never slips; the longest wording of a record need not hold them all.
+COURTESY_WORDS = EMPTY_WORDS.union(*EMPTY_PHRASES)
+#: In how many times as many different records a word must be as one that is taken for a slip of it.
 SLIP_RATIO = 8
 #: Largest number of corrections that is broadcast; more are joined by a shuffle.
 BROADCAST_CORRECTIONS = 500_000
@@ -86,7 +89,13 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = [words(t or "") for t in batch.column(1).to_pylist()]
         b = [words(t or "") for t in batch.column(2).to_pylist()]
         kind = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, kind), pa.array(b, kind), *(batch.column(i) for i in range(3, batch.num_columns))], ["row_id", "a", "b", *batch.schema.names[3:]])
+        high, low = _digests(["\u001e".join(sorted(" ".join(content_words(s)) for s in sides)) for sides in zip(a, b)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, kind), pa.array(b, kind), high, low], ["row_id", "a", "b", "c1", "c2"])
+
+
+def _digests(keys: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    both = [(None, None) if k is None else digest(k) for k in keys]
+    return pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,45 +116,111 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def slip_corrections(tokens: DataFrame, *, ratio: int = SLIP_RATIO) -> DataFrame:
     """``(word, better)`` for each word of the column ``token`` that is a slip of a far more frequent one.
 
-    Closest word first, then the more frequent, then the smaller. Words with digits are never corrected.
+    Closest word first, then the more frequent, then the smaller. Words with digits and those of courtesies are never
+    corrected, nor are words that others are corrected to.
     """
-    counts = tokens.where(F.col("token").rlike(r"^[\p{L}\p{M}]{3,}$")).groupBy("token").agg(F.count("*").alias("n"))
-    counts = materialize(counts)
+    return _corrections(materialize(word_counts(tokens)), ratio)
+
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """``(token, n)`` for words of three letters or more; others are never taken for slips."""
+    return tokens.where(F.col("token").rlike(r"^[\p{L}\p{M}]{3,}$")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _corrections(counts: DataFrame, ratio: int) -> DataFrame:
     top = counts.agg(F.max("n")).first()[0] or 0
     schema = "variant string, word string, n long"
-    rare = counts.where(F.col("n") * ratio <= top).mapInArrow(_variants, schema)
+    rare = counts.where((F.col("n") * ratio <= top) & ~F.col("token").isin(sorted(COURTESY_WORDS))).mapInArrow(_variants, schema)
     known = counts.where(F.col("n") >= ratio).mapInArrow(_variants, schema).select("variant", F.col("word").alias("better"), F.col("n").alias("m"))
     near = rare.join(known, "variant").where(F.col("m") >= F.col("n") * ratio).select("word", "better", "m").distinct()
     judged = near.mapInArrow(_distances, "word string, better string, m long, d int")
     best = W.Window.partitionBy("word").orderBy("d", F.desc("m"), "better")
-    return judged.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "better")
+    chosen = materialize(judged.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "better"))
+    return chosen.join(chosen.select(F.col("better").alias("word")).distinct(), "word", "left_anti")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sides = [batch.column(1).to_pylist(), batch.column(2).to_pylist()]
-        fixes = batch.column(3).to_pylist()
-        high, low = [], []
-        for a, b, fixed in zip(*sides, fixes):
-            for f in fixed or ():
-                (a if f["side"] == 0 else b)[f["pos"]] = f["better"]
-            key = sorted(" ".join(content_words(s)) for s in (a, b))
-            h, w = digest("\u001e".join(key))
-            high.append(h)
-            low.append(w)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["row_id", "k1", "k2"])
+        marks = batch.column(3).to_pylist()
+        keys, frames, words_left, seen = [], [], [], []
+        for a, b, marked in zip(*sides, marks):
+            rare: dict[str, int] = {}
+            for m in marked or ():
+                if m["better"] is None:
+                    rare[m["token"]] = m["n"]
+                else:
+                    (a if m["side"] == 0 else b)[m["pos"]] = m["better"]
+            content = [content_words(s) for s in (a, b)]
+            keys.append("\u001e".join(sorted(" ".join(s) for s in content)))
+            framed = sorted((" ".join("\u001f" if w in rare else w for w in s), [w for w in s if w in rare]) for s in content)
+            left = [w for _, found in framed for w in found]
+            frames.append("\u001e".join(f for f, _ in framed) + ("\u001d" if framed[0][0] == framed[1][0] else "") if left else None)
+            words_left.append(left or None)
+            seen.append([rare[w] for w in left] or None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *_digests(keys), *_digests(frames), pa.array(words_left, pa.list_(pa.string())), pa.array(seen, pa.list_(pa.int64())), pa.array([f is not None and f.endswith("\u001d") for f in frames])], ["row_id", "k1", "k2", "f1", "f2", "rare", "seen", "even"])
 
 
 def record_keys(pairs: DataFrame, *, id_col: str, a_col: str, b_col: str, ratio: int = SLIP_RATIO) -> DataFrame:
-    """``(row_id, k1, k2)``: equal keys mean the same record up to formatting, slips, courtesies and sides."""
+    """``(row_id, k1, k2, ...)``: equal keys mean the same record up to formatting, slips, courtesies and sides.
+
+    ``f1, f2`` are the key without the words of fewer than ``ratio`` records, which are in ``rare`` with their
+    numbers of records in ``seen``; ``even`` says that both sides have the same frame. All null without such words.
+    """
     base = pairs.select(F.col(id_col).alias("row_id"), F.col(a_col).cast("string").alias("a"), F.col(b_col).cast("string").alias("b")).where("a is not null and b is not null")
     id_type = base.schema["row_id"].dataType.simpleString()
-    split = materialize(base.mapInArrow(_tokenised, f"row_id {id_type}, a array<string>, b array<string>"))
+    split = materialize(base.mapInArrow(_tokenised, f"row_id {id_type}, a array<string>, b array<string>, c1 long, c2 long"))
+    # Copies count once; of their wordings the longest stands for them, as it has the most courtesies.
+    records = split.groupBy("c1", "c2").agg(F.max(F.struct((F.size("a") + F.size("b")).alias("size"), "a", "b")).alias("r"))
+    counts = materialize(word_counts(records.select(F.explode(F.array_distinct(F.concat("r.a", "r.b"))).alias("token"))))
+    fixes = _corrections(counts, ratio).withColumnRenamed("word", "token")
+    marks = materialize(counts.join(fixes, "token", "left").where((F.col("n") < ratio) | F.col("better").isNotNull()))
     placed = split.select("row_id", F.lit(0).alias("side"), F.posexplode("a").alias("pos", "token")).unionByName(split.select("row_id", F.lit(1).alias("side"), F.posexplode("b").alias("pos", "token")))
-    fixes = materialize(slip_corrections(placed.select("token"), ratio=ratio)).withColumnRenamed("word", "token")
-    found = placed.join(F.broadcast(fixes), "token") if fixes.count() <= BROADCAST_CORRECTIONS else salted_join(placed, fixes, ["token"])
-    per_row = found.groupBy("row_id").agg(F.collect_list(F.struct("side", "pos", "better")).alias("fixed"))
-    return split.join(per_row, "row_id", "left").select("row_id", "a", "b", "fixed").mapInArrow(_hashed, f"row_id {id_type}, k1 long, k2 long")
+    found = placed.join(F.broadcast(marks), "token") if marks.count() <= BROADCAST_CORRECTIONS else salted_join(placed, marks, ["token"])
+    per_row = found.groupBy("row_id").agg(F.collect_list(F.struct("side", "pos", "token", "n", "better")).alias("marked"))
+    return split.join(per_row, "row_id", "left").select("row_id", "a", "b", "marked").mapInArrow(_hashed, f"row_id {id_type}, k1 long, k2 long, f1 long, f2 long, rare array<string>, seen array<long>, even boolean")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records under the deletion variants of their first rare word; with even sides also in the other order."""
+    for batch in batches:
+        rows, at, orders = batch.to_pylist(), [], []
+        variants = []
+        for i, row in enumerate(rows):
+            rare, seen = row["rare"], row["seen"]
+            half = len(rare) // 2
+            for j in range(2 if row["even"] else 1):
+                order = (rare, seen) if j == 0 else (rare[half:] + rare[:half], seen[half:] + seen[:half])
+                for v in deletion_variants(order[0][0]):
+                    at.append(i)
+                    variants.append(v)
+                    orders.append(order)
+        taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(4)]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(variants, pa.string()), pa.array([o[0] for o in orders], pa.list_(pa.string())), pa.array([o[1] for o in orders], pa.list_(pa.int64()))], ["k1", "k2", "f1", "f2", "variant", "rare", "seen"])
+
+
+def same_words(a: list[str], n: list[int], b: list[str], m: list[int]) -> bool:
+    """Each pair of rare words is equal or a slip; of two words within a slip, one is in no other record."""
+    return len(a) == len(b) and all(x == y or (min(i, j) <= 1 and within_slips(x, y, min(slip_limit(len(x)), slip_limit(len(y)))) is not None) for x, i, y, j in zip(a, n, b, m))
+
+
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, n, b, m = (batch.column(i).to_pylist() for i in range(4, 8))
+        keep = pa.array([i for i, x in enumerate(zip(a, n, b, m)) if same_words(*x)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in range(4)], ["k1", "k2", "o1", "o2"])
+
+
+def same_records(keys: DataFrame) -> DataFrame:
+    """``(k1, k2, o1, o2)``, in both directions: records with different keys that differ in slips of rare words only."""
+    parts = ["k1", "k2", "f1", "f2", "rare", "seen", "even"]
+    records = keys.where("rare is not null").groupBy("k1", "k2").agg(F.min(F.struct(*parts[2:])).alias("r")).select("k1", "k2", "r.*")
+    shared = records.groupBy("f1", "f2").agg(F.count("*").alias("_n")).where("_n > 1").select("f1", "f2")
+    entries = records.join(shared, ["f1", "f2"]).select(*parts).mapInArrow(_entries, "k1 long, k2 long, f1 long, f2 long, variant string, rare array<string>, seen array<long>")
+    entries = materialize(entries)
+    other = entries.select("f1", "f2", "variant", F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("rare").alias("rare_o"), F.col("seen").alias("seen_o"))
+    near = entries.join(other, ["f1", "f2", "variant"]).where("k1 <> o1 or k2 <> o2")
+    return near.select("k1", "k2", "o1", "o2", "rare", "seen", "rare_o", "seen_o").mapInArrow(_same, "k1 long, k2 long, o1 long, o2 long").distinct()
 
 
 def clean_split(split: Column) -> Column:
@@ -165,6 +240,8 @@ def split_overlaps(pairs: DataFrame, *, id_col: str = "pair_id", a_col: str = "p
     tagged = materialize(keys.join(splits, "row_id"))
     train = tagged.where("_split = 'train'").select("k1", "k2", F.col("row_id").alias("train_id"))
     held = tagged.where("_split in ('validation', 'test')").select("k1", "k2", F.col("row_id").alias("eval_id"), F.col("_split").alias("eval_split"))
+    linked = salted_join(held, same_records(tagged), ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), "eval_id", "eval_split")
+    held = held.unionByName(linked)
     return salted_join(train, held, ["k1", "k2"]).select("train_id", "eval_id", "eval_split")
 
 
@@ -178,6 +255,8 @@ def overlap_report(pairs: DataFrame, *, id_col: str = "pair_id", a_col: str = "p
     tagged = materialize(info.join(keys, "row_id", "left"))
     train = tagged.where("split = 'train' and k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("in_train"))
     held = tagged.where("split in ('validation', 'test')").groupBy("split", "source", "k1", "k2").agg(F.count("*").alias("n"))
+    linked = train.join(same_records(tagged), ["k1", "k2"]).select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), "in_train")
+    train = train.unionByName(linked).groupBy("k1", "k2").agg(F.sum("in_train").alias("in_train"))
     joined = held.join(train, ["k1", "k2"], "left")
     return joined.groupBy("split", "source").agg(
         F.sum("n").alias("rows"), F.sum(F.when(F.col("in_train").isNotNull(), F.col("n")).otherwise(0)).alias("overlapping"), F.sum(F.col("n") * F.coalesce("in_train", F.lit(0))).alias("matches")

@@ -45,3 +45,42 @@ def test_words_without_content():
 def test_frequent_words_are_not_corrected(spark, rows):
     df = spark.createDataFrame([("glabriara",)] * 40 + [("glabriana",)] * 50 + [("glabriara1",)] + [("shuold",)] + [("should",)] * 30, "token string")
     assert rows(S.slip_corrections(df)) == [("shuold", "should")]
+
+
+def _both(spark, rows, df):
+    found = rows(S.split_overlaps(df), "train_id", "eval_id")
+    report = S.overlap_report(df).collect()
+    assert sum(r.matches for r in report) == len(found)
+    return found
+
+
+def test_slip_in_a_hot_record(spark, rows):
+    a, b = BASE.format(n=805), OTHER.format(n=805)
+    hot = [(i, ("Please, " if i % 2 else "") + a.replace("whether", "whteher"), b, "train", "x") for i in range(30)]
+    assert _both(spark, rows, make(spark, [*hot, (900, a, b, "test", "x")])) == sorted(((i, 900) for i in range(30)), key=lambda r: (str(r[0]), str(r[1])))
+
+
+def test_words_of_two_records_only(spark, rows):
+    a, b = BASE.format(n=805), OTHER.format(n=805)
+    named = lambda x, y: (a.replace("Harskailde", x), b.replace("Harskailde", y))
+    extra = [(1, *named("Quombrelt", "Quombrelt"), "train", "x"), (2, *named("Quombrlet", "Quombrelt"), "test", "x"), (3, *reversed(named("Quomrelt", "Quombret")), "validation", "x"), (4, *named("Trevanik", "Trevanik"), "test", "x")]
+    assert _both(spark, rows, make(spark, extra)) == [(1, 2), (1, 3)]
+    same = [(1, "Vexalor keeps it", "Vexalor keeps it", "train", "x"), (2, "Vexalor keeps it", "Vexlaor keeps it", "test", "x"), (3, "Vexaolr keeps it", "Vexalor keeps it", "test", "x")]
+    assert _both(spark, rows, make(spark, same)) == [(1, 2), (1, 3)]
+
+
+def test_copies_do_not_make_a_word_a_slip(spark, rows):
+    names = [(i, BASE.format(n=i).replace("Harskailde", name), OTHER.format(n=i), "other", "x") for name, ids in (("Glabriara", range(300, 303)), ("Glabriana", range(310, 313))) for i in ids]
+    a, b = BASE.format(n=805), OTHER.format(n=805)
+    hot = [(400 + i, a.replace("Harskailde", "Glabriana"), b, "train", "x") for i in range(40)]
+    assert _both(spark, rows, make(spark, [*names, *hot, (900, a.replace("Harskailde", "Glabriara"), b, "test", "x")])) == []
+
+
+def test_courtesies_are_not_corrected(spark, rows):
+    df = spark.createDataFrame([("hello",)] + [("yellow",)] * 40 + [("shuold",)] + [("should",)] * 30, "token string")
+    assert rows(S.slip_corrections(df)) == [("shuold", "should")]
+
+
+def test_a_word_with_slips_of_its_own_is_none(spark, rows):
+    df = spark.createDataFrame([("spirnt",)] + [("sprint",)] * 10 + [("split",)] * 100, "token string")
+    assert rows(S.slip_corrections(df)) == [("spirnt", "sprint")]
