@@ -2,24 +2,26 @@
 
 Both halves of a vector are quantised separately; the pair of nearest centroids is its cell. A query walks the
 pairs of centroids by summed distance with a heap until the cells it has met hold enough entries, and all of
-those are compared exactly. Only the codebooks (and the size of every cell) are broadcast; their size
-depends on the number of centroids, which is capped, not on the data.
+those are compared exactly. Cells lie in blocks of even size, neighbours together; an entry asks for itself where
+it is stored, so only queries that reach into other blocks travel, with the distance they reach and nothing else.
+Only codebooks, the size of every cell and its block are broadcast, which are bounded by the number of centroids.
+Cells that hold many entries, as they do once the codebooks have reached their bound, have an index of their own.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
-from promptloom.runtime import key128, materialize, salted_join
+from promptloom.runtime import key128, materialize, spread
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,7 @@ class IndexSettings:
     k: int = 5
     #: Entries a cell holds on average; with it the number of centroids per half follows the data, up to the cap.
     per_cell: float = 1.5
+    #: Centroids per half of the first level; beyond it cells grow and are indexed again, each by itself.
     max_centroids: int = 1024
     #: Vectors per centroid, and at most, on which the codebooks are fitted.
     sample_per_centroid: int = 48
@@ -38,10 +41,13 @@ class IndexSettings:
     #: A query stops after this many entries met, but not before this many cells.
     candidates: int = 96
     least_cells: int = 24
-    #: Entries that one task holds at a time.
-    block_entries: int = 50_000
+    #: Entries that one task holds at a time, and how few make a block of their own to use another core.
+    block_entries: int = 200_000
+    least_block: int = 4_000
     #: A cell with more entries gets an index of its own, by the same method, on what is left after its mean.
-    crowded_cell: int = 4096
+    crowded_cell: int = 512
+    #: Parts of a cell larger than a block that a query visits.
+    probes: int = 3
 
 
 def fit_codebook(points: np.ndarray, count: int, iterations: int, seed: int = 7) -> np.ndarray:
@@ -54,9 +60,10 @@ def fit_codebook(points: np.ndarray, count: int, iterations: int, seed: int = 7)
     for _ in range(iterations):
         nearest = nearest_centroids(points, centroids)
         sizes = np.bincount(nearest, minlength=count)
-        sums = np.zeros((count, points.shape[1]), dtype=np.float64)
-        np.add.at(sums, nearest, points)
+        order = nearest.argsort(kind="stable")
         used = sizes > 0
+        sums = np.zeros((count, points.shape[1]), dtype=np.float64)
+        sums[used] = np.add.reduceat(points[order].astype(np.float64), (np.cumsum(sizes) - sizes)[used], axis=0)
         centroids[used] = (sums[used] / sizes[used, None]).astype(np.float32)
         if not used.all():
             centroids[~used] = points[rng.choice(len(points), int((~used).sum()), replace=False)]
@@ -71,26 +78,26 @@ def nearest_centroids(points: np.ndarray, centroids: np.ndarray, step: int = 819
     return np.concatenate([half_distances(points[i : i + step], centroids).argmin(axis=1) for i in range(0, len(points), step)] or [np.empty(0, np.int64)])
 
 
-def visit_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, candidates: int, least_cells: int) -> list[int]:
-    """Non-empty cells in order of summed distance until they hold enough entries.
+def visit_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, candidates: int, least_cells: int) -> tuple[list[int], float]:
+    """Non-empty cells in order of summed distance until they hold enough entries, and the distance reached.
 
     ``first`` and ``second`` are a query's distances to the centroids of each half, ``sizes[i, j]`` the entries per cell.
     """
     order1, order2 = first.argsort(), second.argsort()
     d1, d2 = first[order1].tolist(), second[order2].tolist()
     order1, order2 = order1.tolist(), order2.tolist()
-    n1, n2 = len(d1), len(d2)
+    n1, n2, width = len(d1), len(d2), sizes.shape[1]
     heap = [(d1[0] + d2[0], 0, 0)]
-    reached = [0] * n1  # how far each row of the grid has been pushed
     out: list[int] = []
     met = visited = 0
+    reach = 0.0
     while heap:
-        _, a, b = heapq.heappop(heap)
+        reach, a, b = heapq.heappop(heap)
         visited += 1
         i, j = order1[a], order2[b]
         size = sizes[i, j]
         if size:
-            out.append(i * n2 + j)
+            out.append(i * width + j)
             met += size
         if met >= candidates and visited >= least_cells:
             break
@@ -98,7 +105,7 @@ def visit_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, candid
             heapq.heappush(heap, (d1[a] + d2[b + 1], a, b + 1))
         if b == 0 and a + 1 < n1:
             heapq.heappush(heap, (d1[a + 1] + d2[0], a + 1, 0))
-    return out
+    return out, reach
 
 
 def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -120,98 +127,174 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int) -> D
     return base.mapInArrow(packed, "id string, vec binary")
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Unit rows in double precision of a column of float32 bytes."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim).astype(np.float64)
-    scale = np.abs(raw).max(axis=1, keepdims=True) if len(raw) else np.ones((0, 1))
-    raw = raw / scale
-    return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+def _raw(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Unit rows in double precision."""
+    wide = raw.astype(np.float64)
+    if len(wide):
+        wide /= np.abs(wide).max(axis=1, keepdims=True)
+    return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
 
 
 @dataclass
 class Codebooks:
-    """Broadcast part of the index: centroids, groups of centroids, and entries per cell."""
+    """Broadcast part of the index: centroids, entries per cell and the block of every cell.
+
+    A cell larger than a block is cut in parts around centroids of its own; ``block`` is -1 there and ``parts`` holds
+    the number of its first part and these centroids.
+    """
 
     first: np.ndarray
     second: np.ndarray
-    group1: np.ndarray
-    group2: np.ndarray
     sizes: np.ndarray | None = None
-    chunks: np.ndarray | None = None
-
-    @property
-    def groups(self) -> int:
-        return int(self.group2.max()) + 1
+    block: np.ndarray | None = None
+    parts: dict[int, tuple[int, np.ndarray]] = field(default_factory=dict)
 
-    def cells(self, unit: np.ndarray, dim: int) -> np.ndarray:
-        half = dim // 2
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        half = self.first.shape[1]
         points = unit.astype(np.float32)
         return nearest_centroids(points[:, :half], self.first) * len(self.second) + nearest_centroids(points[:, half:], self.second)
 
-    def block_of(self, cell: np.ndarray) -> np.ndarray:
-        return self.group1[cell // len(self.second)] * self.groups + self.group2[cell % len(self.second)]
+    def parts_near(self, cell: int, unit: np.ndarray, probes: int) -> np.ndarray:
+        """Blocks of a divided cell around the centroids nearest to a vector, nearest first."""
+        base, centroids = self.parts[cell]
+        return base + half_distances(unit[None, :].astype(np.float32), centroids)[0].argsort(kind="stable")[:probes]
 
 
-def fit_codebooks(vectors: DataFrame, total: int, settings: IndexSettings, blocks: int) -> Codebooks:
-    """Codebooks from a bounded sample chosen by hash; only the sample comes to the driver."""
+def fit_codebooks(vectors: DataFrame, total: int, settings: IndexSettings) -> tuple[Codebooks, np.ndarray]:
+    """Codebooks from a bounded sample, and that sample; rows are chosen by the hash of their id, so runs repeat."""
     count = int(min(settings.max_centroids, max(2, math.sqrt(total / settings.per_cell))))
-    wanted = min(settings.max_sample, settings.sample_per_centroid * count)
-    share = min(1.0, wanted / max(1, total))
-    grid = 1_000_000
-    rows = vectors.where(F.pmod("k1", F.lit(grid)) < int(math.ceil(share * grid))).select("vec").limit(settings.max_sample).toArrow()
-    sample = _matrix(rows.column(0), settings.dim).astype(np.float32)
+    share = min(1.0, min(settings.max_sample, settings.sample_per_centroid * count) / max(1, total))
+    grid = 1_000_000_000
+    few = vectors.where(F.pmod(F.xxhash64("id"), F.lit(grid)) < int(math.ceil(share * grid))).select("id", "vec").mapInArrow(_few_copies(1), "id string, vec binary")
+    sample = _unit(_raw(few.select("vec").toArrow().column(0), settings.dim)).astype(np.float32)
     sample = sample[np.lexsort(sample.T[:3])]
     half = settings.dim // 2
-    first, second = fit_codebook(sample[:, :half], count, settings.iterations), fit_codebook(sample[:, half:], count, settings.iterations)
-    groups = max(1, round(math.sqrt(blocks)))
-    group = lambda book: nearest_centroids(book, fit_codebook(book, min(groups, len(book)), settings.iterations))
-    return Codebooks(first, second, group(first), group(second))
+    return Codebooks(fit_codebook(sample[:, :half], count, settings.iterations), fit_codebook(sample[:, half:], count, settings.iterations)), sample
+
 
+def _few_copies(most: int):
+    """Of equal vectors of a batch only those with the ``most`` smallest ids, so that a hot vector stays small everywhere."""
 
-def _entry_cells(books, settings: IndexSettings):
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell = books.value.cells(_matrix(batch.column(2), settings.dim), settings.dim)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(books.value.block_of(cell).astype(np.int32))], [*batch.schema.names, "cell", "block"])
+            yield batch.take(_kept(batch, most))
+
+    return thin
 
-    return assign
 
+def _kept(batch: pa.RecordBatch, most: int) -> pa.Array:
+    ids, vecs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    again = {v for v, n in Counter(vecs).items() if n > most}
+    if not again:
+        return pa.array(range(len(vecs)), pa.int64())
+    held: dict[bytes, list[tuple[str, int]]] = {}
+    for i, v in enumerate(vecs):
+        if v in again:
+            held.setdefault(v, []).append((ids[i] or "", i))
+    gone = {i for rows in held.values() for _, i in sorted(rows)[most:]}
+    return pa.array([i for i in range(len(vecs)) if i not in gone], pa.int64())
 
-def _query_visits(books, settings: IndexSettings):
-    """One row for each block (and each of its chunks) that holds a cell the query visits."""
+
+def _count_cells(books, settings: IndexSettings):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Counter()
+        for batch in batches:
+            if batch.num_rows:
+                sizes.update(books.value.cells(_unit(_raw(batch.take(_kept(batch, settings.k + 1)).column(1), settings.dim))).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.int64()), pa.array(list(sizes.values()), pa.int64())], ["cell", "n"])
+
+    return count
+
+
+def place_cells(books: Codebooks, sizes: np.ndarray, sample: np.ndarray, settings: IndexSettings, blocks: int) -> np.ndarray:
+    """Give every cell a block, in place, and return the entries per block.
+
+    Non-empty cells are halved by their entries along the direction in which they differ most, again and again, so
+    that blocks are even and hold neighbours. Cells larger than a block are divided instead.
+    """
+    books.sizes = sizes.reshape(len(books.first), len(books.second))
+    books.block = np.full(len(sizes), -1, dtype=np.int32)
+    large = np.flatnonzero(sizes > settings.block_entries)
+    small = np.flatnonzero((sizes > 0) & (sizes <= settings.block_entries))
+    loads: list[float] = []
+    if len(small):
+        centred = sample - sample.mean(axis=0)
+        axes = np.linalg.eigh(centred.T.astype(np.float64) @ centred)[1][:, ::-1][:, :8].astype(np.float32)
+        half = books.first.shape[1]
+        points = (books.first @ axes[:half])[small // len(books.second)] + (books.second @ axes[half:])[small % len(books.second)]
+        weight = sizes[small].astype(np.float64)
+        todo = [(np.arange(len(small)), max(1, min(blocks, len(small))))]
+        while todo:
+            rows, n = todo.pop()
+            if n == 1 or len(rows) == 1:
+                books.block[small[rows]] = len(loads)
+                loads.append(float(weight[rows].sum()))
+                continue
+            mean = np.average(points[rows], axis=0, weights=weight[rows])
+            axis = int(np.average((points[rows] - mean) ** 2, axis=0, weights=weight[rows]).argmax())
+            rows = rows[points[rows, axis].argsort(kind="stable")]
+            filled = np.cumsum(weight[rows])
+            cut = min(max(1, int(np.searchsorted(filled, filled[-1] * (n // 2) / n)) + 1), len(rows) - 1)
+            todo += [(rows[:cut], n // 2), (rows[cut:], n - n // 2)]
+    if len(large):
+        home = books.cells(sample)
+        for cell in large.tolist():
+            inside = sample[home == cell]
+            wanted = -(-2 * int(sizes[cell]) // settings.block_entries)
+            centroids = fit_codebook(inside, wanted, settings.iterations) if len(inside) else np.concatenate([books.first[cell // len(books.second)], books.second[cell % len(books.second)]])[None, :]
+            books.parts[cell] = (len(loads), centroids)
+            loads += [float(sizes[cell]) / len(centroids)] * len(centroids)
+    return np.array(loads)
+
+
+def _visits(books, settings: IndexSettings, stored: bool):
+    """Rows for the blocks: entries with the distance they reach for their own one (``stored``), queries for all others."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = books.value
-        half = settings.dim // 2
+        half, block = settings.dim // 2, b.block
         for batch in batches:
+            batch = batch.take(_kept(batch, settings.k + 1 if stored else 1))
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                unit = _matrix(part.column(2), settings.dim).astype(np.float32)
+                raw = _raw(part.column(1), settings.dim)
+                wide = _unit(raw)
+                unit = wide.astype(np.float32)
+                home = b.cells(wide)
                 d1, d2 = half_distances(unit[:, :half], b.first), half_distances(unit[:, half:], b.second)
-                rows, blocks, chunks, cells = [], [], [], []
+                rows, where, kinds, reached = [], [], [], []
                 for q in range(len(unit)):
-                    met = np.array(visit_cells(d1[q], d2[q], b.sizes, settings.candidates, settings.least_cells), dtype=np.int64)
-                    where = b.block_of(met)
-                    for block in set(where.tolist()):
-                        mine = met[where == block].tolist()
-                        for chunk in range(int(b.chunks[block])):
-                            rows.append(q)
-                            blocks.append(block)
-                            chunks.append(chunk)
-                            cells.append(mine)
+                    met, reach = visit_cells(d1[q], d2[q], b.sizes, settings.candidates, settings.least_cells)
+                    mine = int(block[home[q]])
+                    if mine < 0 and stored:
+                        mine = int(b.parts_near(int(home[q]), wide[q], 1)[0])
+                    found = {mine} if stored else set()
+                    for cell in met:
+                        at = int(block[cell])
+                        if at >= 0:
+                            found.add(at)
+                        else:
+                            found.update(b.parts_near(cell, wide[q], settings.probes).tolist())
+                    for at in found:
+                        rows.append(q)
+                        where.append(at)
+                        kinds.append(0 if stored and at == mine else 1)
+                        reached.append(reach)
+                kind = np.array(kinds, dtype=np.int8)
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(blocks, pa.int32()), pa.array(chunks, pa.int32()), *(part.column(i).take(at) for i in range(3)), pa.array(cells, pa.list_(pa.int32()))],
-                    ["block", "chunk", "k1", "k2", "vec", "cells"],
-                )
+                ids = part.column(0).take(at) if stored else pa.nulls(len(rows), pa.string())
+                ids = pa.compute.if_else(pa.array(kind == 0), ids, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind), part.column(1).take(at), ids, pa.array(reached, pa.float32())], ["block", "kind", "vec", "id", "reach"])
 
     return visit
 
 
 class _Crowd:
-    """Second level for a cell that holds very many near-equal vectors: a multi-index of their differences from the mean."""
+    """Second level for a cell that holds many entries: a multi-index of their differences from the mean."""
 
     def __init__(self, unit: np.ndarray, start: int, settings: IndexSettings) -> None:
         self.settings, self.half = settings, settings.dim // 2
@@ -234,118 +317,236 @@ class _Crowd:
     def near(self, unit: np.ndarray) -> np.ndarray:
         rest = self._rest(unit[None, :])
         d1, d2 = half_distances(rest[:, : self.half], self.books[0])[0], half_distances(rest[:, self.half :], self.books[1])[0]
-        cells = visit_cells(d1, d2, self.sizes, self.settings.candidates, self.settings.least_cells)
+        cells, _ = visit_cells(d1, d2, self.sizes, self.settings.candidates, self.settings.least_cells)
         return np.concatenate([self.at[self.bounds[c] : self.bounds[c + 1]] for c in cells])
 
 
 class _Block:
-    """Entries of one chunk of a block, by cell, ready for exact comparison."""
+    """Entries of one block by cell, ready for exact comparison."""
 
-    def __init__(self, batches: list[pa.RecordBatch], settings: IndexSettings) -> None:
-        dim = settings.dim
+    #: Queries compared in one step, and the slack within which single precision may order two entries wrongly.
+    STEP, SLACK = 512, 4e-6
+
+    def __init__(self, batches: list[pa.RecordBatch], books: Codebooks, settings: IndexSettings) -> None:
         table = pa.Table.from_batches(batches)
-        cell = np.array([c[0] for c in table.column("cells").to_pylist()], dtype=np.int64)
-        order = cell.argsort(kind="stable")
-        self.ids = [table.column("ids").combine_chunks()[int(i)].as_py() for i in order]
-        self.unit = _matrix(table.column("vec").combine_chunks(), dim)[order]
-        sorted_cells = cell[order]
-        starts = np.flatnonzero(np.append(True, sorted_cells[1:] != sorted_cells[:-1]))
-        self.range = {int(sorted_cells[s]): (int(s), int(e)) for s, e in zip(starts, np.append(starts[1:], len(cell)))}
-        self.crowds = {c: _Crowd(self.unit[a:b], a, settings) for c, (a, b) in self.range.items() if b - a > settings.crowded_cell}
-        self.rank = np.empty(len(cell), dtype=np.int64)
-        self.rank[sorted(range(len(cell)), key=lambda i: self.ids[i][0])] = np.arange(len(cell))
-
-    def best(self, unit: np.ndarray, cells: list[int], k: int) -> list[dict]:
-        spans = [self.crowds[c].near(unit) if c in self.crowds else np.arange(*self.range[c]) for c in cells if c in self.range]
-        if not spans:
-            return []
-        near = np.concatenate(spans)
-        score = np.round(self.unit[near] @ unit, 6)
-        top = np.lexsort((self.rank[near], -score))[:k]
-        return [{"far": -float(score[t]), "ids": self.ids[near[t]]} for t in top]
-
-
-def _scan(settings: IndexSettings):
-    """Rows sorted by block, chunk and kind: entries are gathered first, then every query is compared with them."""
+        ids = table.column("id").combine_chunks().to_pylist()
+        raw = _raw(table.column("vec").combine_chunks(), settings.dim)
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        seen: Counter = Counter()
+        kept = []
+        for n, i in enumerate(order):  # a repeated row is the same entry, and more copies of a vector are never needed
+            key = raw[i].tobytes()
+            if (n and ids[order[n - 1]] == ids[i]) or seen[key] > settings.k:
+                continue
+            seen[key] += 1
+            kept.append(i)
+        at = np.array(kept, dtype=np.int64)
+        cell = books.cells(_unit(raw[at]))
+        by_cell = cell.argsort(kind="stable")
+        at, cell = at[by_cell], cell[by_cell]
+        self.books, self.settings = books, settings
+        self.rank = by_cell  # ids are in order before the cells are
+        self.ids = [ids[i] for i in at]
+        self.raw = raw[at]
+        self.reach = table.column("reach").combine_chunks().to_numpy(zero_copy_only=False)[at]
+        self.unit = _unit(self.raw).astype(np.float32)
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        self.start, self.end = starts, np.append(starts[1:], len(cell))
+        width = len(books.second)
+        self.cell_row, self.cell_col = cell[starts] // width, cell[starts] % width
+        self.row_values = np.unique(self.cell_row)
+        self.row_start = np.searchsorted(self.cell_row, self.row_values)
+        self.row_end = np.append(self.row_start[1:], len(starts))
+        self.crowds = {int(c): _Crowd(_unit(self.raw[a:b]), a, settings) for c, (a, b) in enumerate(zip(starts, self.end)) if b - a > settings.crowded_cell}
+
+    def own(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entries as queries, each vector once."""
+        seen: set[bytes] = set()
+        first = [i for i in range(len(self.raw)) if (key := self.raw[i].tobytes()) not in seen and not seen.add(key)]
+        for low in range(0, len(first), self.STEP):
+            yield self.raw[first[low : low + self.STEP]], self.reach[first[low : low + self.STEP]]
+
+    def best(self, raw: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+        """``(query, records)`` of the nearest entries of the cells within reach of each query.
+
+        A record is four bytes that order by falling similarity, and the id.
+        """
+        wide = _unit(raw)
+        unit = wide.astype(np.float32)
+        half, k = self.settings.dim // 2, self.settings.k + 1
+        d1 = half_distances(unit[:, :half], self.books.first)
+        d2 = half_distances(unit[:, half:], self.books.second)
+        queries, nears = [], []
+        for q in range(len(raw)):
+            limit = reach[q] + np.float32(1e-5)
+            rows = np.flatnonzero(d1[q, self.row_values] + d2[q].min() <= limit)
+            spans = []
+            for r in rows.tolist():
+                low, high = self.row_start[r], self.row_end[r]
+                inside = np.flatnonzero(d2[q, self.cell_col[low:high]] <= limit - d1[q, self.row_values[r]]) + low
+                for c in inside.tolist():
+                    spans.append(self.crowds[c].near(wide[q]) if c in self.crowds else np.arange(self.start[c], self.end[c]))
+            if spans:
+                near = np.concatenate(spans)
+                queries.append(np.full(len(near), q))
+                nears.append(near)
+        if not nears:
+            return
+        query, near = np.concatenate(queries), np.concatenate(nears)
+        rough = np.einsum("ij,ij->i", self.unit[near], unit[query])
+        order = np.lexsort((-rough, query))
+        query, near, rough = query[order], near[order], rough[order]
+        begins = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        lengths = np.diff(np.append(begins, len(query)))
+        least = np.repeat(rough[begins + np.minimum(k, lengths) - 1], lengths)
+        close = rough >= least - self.SLACK
+        query, near = query[close], near[close]
+        score = np.rint(np.einsum("ij,ij->i", _unit(self.raw[near]), wide[query]) * 1e6).astype(np.int64)
+        order = np.lexsort((self.rank[near], -score, query))
+        query, near, far = query[order].tolist(), near[order].tolist(), (1_000_000 - score[order]).tolist()
+        low = 0
+        while low < len(query):
+            high = low
+            while high < len(query) and query[high] == query[low]:
+                high += 1
+            yield query[low], [far[i].to_bytes(4, "big") + self.ids[near[i]] for i in range(low, min(low + k, high))]
+            low = high
+
+
+def _scan(books, settings: IndexSettings):
+    """Rows sorted by block and kind: entries are gathered first, then they and every query are compared with them."""
+
+    def answers(index: _Block, raw: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
+        found = list(index.best(raw, reach))
+        return pa.RecordBatch.from_arrays([pa.array([raw[q].tobytes() for q, _ in found], pa.binary()), pa.array([r for _, r in found], pa.list_(pa.binary()))], ["vec", "best"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: tuple[int, int] | None = None
+        here = -1
         held: list[pa.RecordBatch] = []
         index: _Block | None = None
+
+        def opened() -> Iterator[pa.RecordBatch]:
+            nonlocal index, held
+            if held:
+                index, held = _Block(held, books.value, settings), []
+                for raw, reach in index.own():
+                    yield answers(index, raw, reach)
+
         for batch in batches:
-            block, chunk, kind = (batch.column(i).to_numpy() for i in range(3))
-            change = np.flatnonzero((block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
-            out = []
+            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            change = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
             for low, high in zip(np.append(0, change).tolist(), np.append(change, len(block)).tolist()):
                 if low == high:
                     continue
-                if (int(block[low]), int(chunk[low])) != here:
-                    here, held, index = (int(block[low]), int(chunk[low])), [], None
+                if int(block[low]) != here:
+                    yield from opened()
+                    here, held, index = int(block[low]), [], None
                 part = batch.slice(low, high - low)
                 if kind[low] == 0:
                     held.append(part)
                     continue
-                if index is None and held:
-                    index, held = _Block(held, settings), []
-                if index is None:
-                    continue
-                unit = _matrix(part.column("vec"), settings.dim)
-                k1, k2 = part.column("k1").to_pylist(), part.column("k2").to_pylist()
-                for q, cells in enumerate(part.column("cells").to_pylist()):
-                    found = index.best(unit[q], cells, settings.k + 1)
-                    if found:
-                        out.append((k1[q], k2[q], found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.struct([("far", pa.float64()), ("ids", pa.list_(pa.string()))])))], ["k1", "k2", "found"]
-            )
+                yield from opened()
+                if index is not None:
+                    raw = _raw(part.column(2), settings.dim)
+                    reach = part.column(4).to_numpy()
+                    for at in range(0, len(raw), _Block.STEP):
+                        yield answers(index, raw[at : at + _Block.STEP], reach[at : at + _Block.STEP])
+        yield from opened()
 
     return scan
 
 
+def _merge(settings: IndexSettings):
+    """Rows sorted by vector: what the blocks found is put together, then every id that asks with the vector gets its share."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple | None = None
+        pool: list[bytes] = []
+        top: list[bytes] | None = None
+        before: tuple | None = None
+        for batch in batches:
+            out: list[tuple[str, bytes, bytes, int]] = []
+            for k1, k2, side, asked, best in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (k1, k2) != here:
+                    here, pool, top, before = (k1, k2), [], None, None
+                if asked is None:
+                    pool.extend(best)
+                    continue
+                if top is None:
+                    top = sorted(set(pool))[: settings.k + 1]
+                if (side, asked) == before:
+                    continue
+                before = (side, asked)
+                others = top if side != "entry" else [t for t in top if t[4:] != asked]
+                out.extend((side, asked, t[4:], 1_000_000 - int.from_bytes(t[:4], "big")) for t in others[: settings.k])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary(), pa.int32()))], ["side", "query", "neighbour", "score"])
+
+    return merge
+
+
+_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def _packed_id(name: Column, short: bool) -> Column:
+    """An id as bytes in the same order; identifiers in the common form of 32 hexadecimal digits take 16 bytes."""
+    return F.unhex(F.replace(name, F.lit("-"), F.lit(""))) if short else F.encode(name, "UTF-8")
+
+
+def _plain_id(packed: Column, short: bool) -> Column:
+    if not short:
+        return F.decode(packed, "UTF-8")
+    digits = F.lower(F.hex(packed))
+    return F.concat_ws("-", *[F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def _hot_vectors(counts: DataFrame, total: int, share: int = 200) -> list[tuple[int, int]]:
+    """Vectors with more than 1/``share`` of the askers: at most ``share`` of them whatever the data."""
+    return [(r.k1, r.k2) for r in counts.where(F.col("n") > max(1, total // share)).select("k1", "k2").collect()]
+
+
 def nearest_entries(entries: DataFrame, others: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
     """The ``k`` most similar entries of every entry and of every other query: ``(side, query_id, neighbour_id, similarity)``.
 
     ``entries`` is ``(id, vec)`` and ``others`` ``(side, query_id, vec)`` as :func:`usable_vectors` packs them. The entries
     themselves are queries of side ``entry`` and are not their own neighbours. Similarity is the cosine, rounded to six
-    decimals; equal ones are taken by the smaller id. Equal vectors are indexed once with their smallest ids, so many
-    copies of one vector cost no more than one, and each distinct query vector is searched once; a query delivered
-    with several vectors is asked with one of them. With fewer than ``k`` others all of them come out; empty
+    decimals; equal ones are taken by the smaller id. Of equal vectors those with the smallest ids are kept where they
+    are read, so many copies of one cost little, and an entry given twice is one entry; a query delivered with
+    several vectors is asked with one of them. With fewer than ``k`` others all of them come out; empty
     tables give no rows.
     """
     spark = entries.sparkSession
     cores = spark.sparkContext.defaultParallelism
     key = ["k1", "k2"]
-    keyed = entries.select("id", "vec", *key128(F.col("vec")))
-    smallest = keyed.withColumn("r", F.row_number().over(W.Window.partitionBy(*key).orderBy("id"))).where(F.col("r") <= settings.k + 1)
-    distinct = materialize(smallest.groupBy(*key).agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")))
-    outside = others.select("side", "query_id", "vec", *key128(F.col("vec")))
-    asked = keyed.select(F.lit("entry").alias("side"), F.col("id").alias("query_id"), *key).unionByName(
-        outside.groupBy("side", "query_id").agg(F.min(F.struct(*key)).alias("k")).select("side", "query_id", "k.k1", "k.k2")
-    )
-    total = distinct.count()
+    stored = materialize(spread(entries.select(F.col("id").cast("string").alias("id"), "vec", *key128(F.col("vec"))), "id"))
+    outside = materialize(spread(others.select("side", F.col("query_id").cast("string").alias("query_id"), "vec", *key128(F.col("vec"))), "query_id"))
+    total, short = stored.agg(F.count("*"), F.coalesce(F.bool_and(F.col("id").rlike(_UUID)), F.lit(True))).first()
     if not total:
         return spark.createDataFrame([], "side string, query_id string, neighbour_id string, similarity double")
-    blocks = max(-(-total // settings.block_entries), min(cores + cores // 2, -(-total // 500)))
-    books = fit_codebooks(distinct, total, settings, blocks)
+    asking, other_short = outside.agg(F.count("*"), F.coalesce(F.bool_and(F.col("query_id").rlike(_UUID)), F.lit(True))).first()
+    short = short and other_short
+    books, sample = fit_codebooks(stored, total, settings)
     shared = spark.sparkContext.broadcast(books)
-    placed_entries = distinct.mapInArrow(_entry_cells(shared, settings), "k1 long, k2 long, vec binary, ids array<string>, cell int, block int")
-    filled = placed_entries.groupBy("cell").agg(F.count("*").cast("int").alias("n")).toArrow()
-    sizes = np.zeros(len(books.first) * len(books.second), dtype=np.int32)
-    cells = filled.column("cell").to_numpy().astype(np.int64)
-    sizes[cells] = filled.column("n").to_numpy()
-    per_block = np.bincount(books.block_of(cells), weights=sizes[cells], minlength=books.groups * (int(books.group1.max()) + 1))
-    chunks = np.maximum(1, np.ceil(per_block / settings.block_entries)).astype(np.int32)
-    sized = spark.sparkContext.broadcast(Codebooks(books.first, books.second, books.group1, books.group2, sizes.reshape(len(books.first), len(books.second)), chunks))
-    chunk_of = F.pmod("k1", F.get(F.array(*[F.lit(int(c)) for c in chunks]), F.col("block"))).cast("int") if chunks.max() > 1 else F.lit(0)
-    stored = placed_entries.select("block", chunk_of.alias("chunk"), F.lit(0).alias("kind"), *key, "vec", F.array("cell").alias("cells"), "ids")
-    new = outside.groupBy(*key).agg(F.first("vec").alias("vec")).join(distinct.select(*key), key, "left_anti")
-    visits = distinct.select(*key, "vec").unionByName(new).mapInArrow(_query_visits(sized, settings), "block int, chunk int, k1 long, k2 long, vec binary, cells array<int>")
-    calls = visits.select("block", "chunk", F.lit(1).alias("kind"), *key, "vec", "cells", F.lit(None).cast("array<string>").alias("ids"))
-    tasks = max(cores, int(chunks.sum()))
-    placed = stored.unionByName(calls).repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk", "kind")
-    found = placed.mapInArrow(_scan(settings), "k1 long, k2 long, found array<struct<far:double,ids:array<string>>>")
-    merged = found.groupBy(*key).agg(F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, settings.k + 1).alias("found"))
-    each = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct(f["far"].alias("far"), i.alias("id")))))
-    open_to = F.filter(each, lambda x: (F.col("side") != "entry") | (x["id"] != F.col("query_id")))
-    listed = salted_join(asked, merged, key).select("side", "query_id", F.explode(F.slice(F.array_sort(open_to), 1, settings.k)).alias("n"))
-    return listed.select("side", "query_id", F.col("n.id").alias("neighbour_id"), (-F.col("n.far")).alias("similarity"))
+    filled = stored.select("id", "vec").mapInArrow(_count_cells(shared, settings), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sizes = np.zeros(len(books.first) * len(books.second), dtype=np.int64)
+    sizes[filled.column("cell").to_numpy()] = filled.column("n").to_numpy()
+    number = int(sizes.sum())
+    loads = place_cells(books, np.minimum(sizes, 2**31 - 1).astype(np.int32), sample, settings, max(-(-number // settings.block_entries), min(2 * cores, -(-number // settings.least_block))))
+    placed = spark.sparkContext.broadcast(books)
+    schema = "block int, kind byte, vec binary, id string, reach float"
+    visits = stored.select("id", "vec").mapInArrow(_visits(placed, settings, True), schema).unionByName(outside.select(F.col("query_id").alias("id"), "vec").mapInArrow(_visits(placed, settings, False), schema))
+    dealt = visits.withColumn("id", _packed_id(F.col("id"), short)).repartitionById(len(loads), F.col("block")).sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(_scan(placed, settings), "vec binary, best array<binary>").select(*key128(F.col("vec")), F.lit(None).cast("string").alias("side"), F.lit(None).cast("binary").alias("asked"), "best")
+    once = outside.groupBy("side", "query_id").agg(F.min(F.struct(*key)).alias("k")).select("k.k1", "k.k2", "side", F.col("query_id").alias("id"))
+    asked = stored.select(*key, F.lit("entry").alias("side"), "id").unionByName(once).select(*key, "side", _packed_id(F.col("id"), short).alias("asked"), F.lit(None).cast("array<binary>").alias("best"))
+    hot = _hot_vectors(stored.select(*key).unionByName(outside.select(*key)).groupBy(*key).agg(F.count("*").alias("n")), total + asking)
+    if hot:  # askers of a hot vector are dealt over all tasks, and what was found for it goes to each
+        salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = F.broadcast(spark.createDataFrame(hot, "k1 long, k2 long").withColumn("_hot", F.lit(True)))
+        is_hot = F.coalesce(F.col("_hot"), F.lit(False))
+        asked = asked.join(table, key, "left").withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("asked"), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+        found = found.join(table, key, "left").withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    else:
+        asked, found = asked.withColumn("salt", F.lit(0)), found.withColumn("salt", F.lit(0))
+    together = found.unionByName(asked).repartition(*key, "salt").sortWithinPartitions(*key, "salt", F.asc_nulls_first("asked"), "side")
+    listed = together.select(*key, "side", "asked", "best").mapInArrow(_merge(settings), "side string, query binary, neighbour binary, score int")
+    return listed.select("side", _plain_id(F.col("query"), short).alias("query_id"), _plain_id(F.col("neighbour"), short).alias("neighbour_id"), (F.col("score") / 1_000_000.0).alias("similarity"))

@@ -75,10 +75,10 @@ def test_few_or_no_entries(spark):
 def test_cells_come_in_order_of_distance():
     rng = np.random.default_rng(1)
     d1, d2, sizes = rng.random(6), rng.random(5), np.ones((6, 5), dtype=int)
-    cells = M.visit_cells(d1, d2, sizes, 1000, 1)
+    cells, reach = M.visit_cells(d1, d2, sizes, 1000, 1)
     sums = [d1[c // 5] + d2[c % 5] for c in cells]
-    assert len(set(cells)) == 30 and sums == sorted(sums)
-    assert len(M.visit_cells(d1, d2, sizes, 4, 2)) == 4
+    assert len(set(cells)) == 30 and sums == sorted(sums) and reach == sums[-1]
+    assert len(M.visit_cells(d1, d2, sizes, 4, 2)[0]) == 4
 
 
 @pytest.mark.parametrize("count", [1, 5, 500])
