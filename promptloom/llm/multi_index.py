@@ -2,8 +2,9 @@
 
 Both halves of a vector are quantised separately; the pair of nearest centroids is its cell. A query walks the
 pairs of centroids by summed distance with a heap until the cells it has met hold enough entries, and all of
-those are compared exactly. Cells lie in blocks of even size, neighbours together; an entry asks for itself where
+those are compared exactly. Cells lie in large blocks of even size, neighbours together; an entry asks for itself where
 it is stored, so only queries that reach into other blocks travel, with the distance they reach and nothing else.
+While there are fewer blocks than cores, several tasks share the queries of a block, each with all of its entries.
 Only codebooks, the size of every cell and its block are broadcast, which are bounded by the number of centroids.
 Cells that hold many entries, as they do once the codebooks have reached their bound, have an index of their own.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,9 +43,11 @@ class IndexSettings:
     #: A query stops after this many entries met, but not before this many cells.
     candidates: int = 96
     least_cells: int = 24
-    #: Entries that one task holds at a time, and how few make a block of their own to use another core.
-    block_entries: int = 200_000
-    least_block: int = 4_000
+    #: Entries that one task holds at a time, and how few still make a block of their own on a large cluster.
+    block_entries: int = 400_000
+    least_block: int = 20_000
+    #: Tasks that may share the queries of a block, each with its entries, while there are fewer blocks than cores.
+    most_slices: int = 8
     #: A cell with more entries gets an index of its own, by the same method, on what is left after its mean.
     crowded_cell: int = 512
     #: Parts of a cell larger than a block that a query visits.
@@ -128,7 +132,11 @@ def usable_vectors(rows: DataFrame, id_col: str, vector_col: str, dim: int) -> D
 
 
 def _raw(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(-1, dim)
+    """Rows of a column of float32 bytes, where they lie."""
+    if not len(column):
+        return np.empty((0, dim), np.float32)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.float32, offset=int(offsets[0]), count=len(column) * dim).reshape(-1, dim)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -170,7 +178,7 @@ def fit_codebooks(vectors: DataFrame, total: int, settings: IndexSettings) -> tu
     share = min(1.0, min(settings.max_sample, settings.sample_per_centroid * count) / max(1, total))
     grid = 1_000_000_000
     few = vectors.where(F.pmod(F.xxhash64("id"), F.lit(grid)) < int(math.ceil(share * grid))).select("id", "vec").mapInArrow(_few_copies(1), "id string, vec binary")
-    sample = _unit(_raw(few.select("vec").toArrow().column(0), settings.dim)).astype(np.float32)
+    sample = _unit(_raw(few.select("vec").toArrow().column(0).combine_chunks(), settings.dim)).astype(np.float32)
     sample = sample[np.lexsort(sample.T[:3])]
     half = settings.dim // 2
     return Codebooks(fit_codebook(sample[:, :half], count, settings.iterations), fit_codebook(sample[:, half:], count, settings.iterations)), sample
@@ -210,49 +218,56 @@ def _count_cells(books, settings: IndexSettings):
     return count
 
 
-def place_cells(books: Codebooks, sizes: np.ndarray, sample: np.ndarray, settings: IndexSettings, blocks: int) -> np.ndarray:
-    """Give every cell a block, in place, and return the entries per block.
+def place_cells(books: Codebooks, sizes: np.ndarray, sample: np.ndarray, settings: IndexSettings, blocks: int) -> int:
+    """Give every cell a block, in place, and return how many blocks there are.
 
-    Non-empty cells are halved by their entries along the direction in which they differ most, again and again, so
-    that blocks are even and hold neighbours. Cells larger than a block are divided instead.
+    Non-empty cells are halved by their entries along the direction in which the centroids of one half differ most,
+    again and again, so that blocks are even and hold neighbours. Cells larger than a block are divided instead.
     """
-    books.sizes = sizes.reshape(len(books.first), len(books.second))
+    width = len(books.second)
+    books.sizes = sizes.reshape(len(books.first), width)
     books.block = np.full(len(sizes), -1, dtype=np.int32)
     large = np.flatnonzero(sizes > settings.block_entries)
     small = np.flatnonzero((sizes > 0) & (sizes <= settings.block_entries))
-    loads: list[float] = []
-    if len(small):
-        centred = sample - sample.mean(axis=0)
-        axes = np.linalg.eigh(centred.T.astype(np.float64) @ centred)[1][:, ::-1][:, :8].astype(np.float32)
-        half = books.first.shape[1]
-        points = (books.first @ axes[:half])[small // len(books.second)] + (books.second @ axes[half:])[small % len(books.second)]
-        weight = sizes[small].astype(np.float64)
-        todo = [(np.arange(len(small)), max(1, min(blocks, len(small))))]
-        while todo:
-            rows, n = todo.pop()
-            if n == 1 or len(rows) == 1:
-                books.block[small[rows]] = len(loads)
-                loads.append(float(weight[rows].sum()))
-                continue
-            mean = np.average(points[rows], axis=0, weights=weight[rows])
-            axis = int(np.average((points[rows] - mean) ** 2, axis=0, weights=weight[rows]).argmax())
-            rows = rows[points[rows, axis].argsort(kind="stable")]
-            filled = np.cumsum(weight[rows])
-            cut = min(max(1, int(np.searchsorted(filled, filled[-1] * (n // 2) / n)) + 1), len(rows) - 1)
-            todo += [(rows[:cut], n // 2), (rows[cut:], n - n // 2)]
+    used = 0
+    todo = [(small, max(1, min(blocks, len(small))))] if len(small) else []
+    while todo:
+        cells, n = todo.pop()
+        if n == 1 or len(cells) == 1:
+            books.block[cells] = used
+            used += 1
+            continue
+        weight = sizes[cells].astype(np.float64)
+        sides = [_main_direction(book, at, weight) for book, at in ((books.first, cells // width), (books.second, cells % width))]
+        order = max(sides, key=lambda side: side[0])[1].argsort(kind="stable")
+        filled = np.cumsum(weight[order])
+        cut = min(max(1, int(np.searchsorted(filled, filled[-1] * (n // 2) / n)) + 1), len(cells) - 1)
+        todo += [(cells[order[:cut]], n // 2), (cells[order[cut:]], n - n // 2)]
     if len(large):
         home = books.cells(sample)
         for cell in large.tolist():
             inside = sample[home == cell]
             wanted = -(-2 * int(sizes[cell]) // settings.block_entries)
-            centroids = fit_codebook(inside, wanted, settings.iterations) if len(inside) else np.concatenate([books.first[cell // len(books.second)], books.second[cell % len(books.second)]])[None, :]
-            books.parts[cell] = (len(loads), centroids)
-            loads += [float(sizes[cell]) / len(centroids)] * len(centroids)
-    return np.array(loads)
+            centroids = fit_codebook(inside, wanted, settings.iterations) if len(inside) else np.concatenate([books.first[cell // width], books.second[cell % width]])[None, :]
+            books.parts[cell] = (used, centroids)
+            used += len(centroids)
+    return used
+
+
+def _main_direction(book: np.ndarray, at: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Variance along the main direction of the centroids ``at``, and where each lies along it."""
+    total = np.bincount(at, weights=weight, minlength=len(book))
+    centred = book - np.average(book, axis=0, weights=total)
+    values, vectors = np.linalg.eigh((centred * total[:, None]).T @ centred)
+    return float(values[-1]), (centred @ vectors[:, -1])[at]
+
+
+def _slice_of(vec: bytes, slices: int) -> int:
+    return zlib.crc32(vec) % slices
 
 
-def _visits(books, settings: IndexSettings, stored: bool):
-    """Rows for the blocks: entries with the distance they reach for their own one (``stored``), queries for all others."""
+def _visits(books, settings: IndexSettings, slices: int, stored: bool):
+    """Rows for the slices of blocks: entries with the distance they reach for all of their own block, queries for one of any other."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = books.value
@@ -265,6 +280,7 @@ def _visits(books, settings: IndexSettings, stored: bool):
                 wide = _unit(raw)
                 unit = wide.astype(np.float32)
                 home = b.cells(wide)
+                vecs = part.column(1).to_pylist()
                 d1, d2 = half_distances(unit[:, :half], b.first), half_distances(unit[:, half:], b.second)
                 rows, where, kinds, reached = [], [], [], []
                 for q in range(len(unit)):
@@ -280,15 +296,17 @@ def _visits(books, settings: IndexSettings, stored: bool):
                         else:
                             found.update(b.parts_near(cell, wide[q], settings.probes).tolist())
                     for at in found:
-                        rows.append(q)
-                        where.append(at)
-                        kinds.append(0 if stored and at == mine else 1)
-                        reached.append(reach)
+                        own = stored and at == mine
+                        for piece in range(slices) if own else (_slice_of(vecs[q], slices),):
+                            rows.append(q)
+                            where.append(at * slices + piece)
+                            kinds.append(0 if own else 1)
+                            reached.append(reach)
                 kind = np.array(kinds, dtype=np.int8)
                 at = pa.array(rows, pa.int64())
                 ids = part.column(0).take(at) if stored else pa.nulls(len(rows), pa.string())
                 ids = pa.compute.if_else(pa.array(kind == 0), ids, pa.scalar(None, pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind), part.column(1).take(at), ids, pa.array(reached, pa.float32())], ["block", "kind", "vec", "id", "reach"])
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(kind), part.column(1).take(at), ids, pa.array(reached, pa.float32())], ["slot", "kind", "vec", "id", "reach"])
 
     return visit
 
@@ -327,10 +345,10 @@ class _Block:
     #: Queries compared in one step, and the slack within which single precision may order two entries wrongly.
     STEP, SLACK = 512, 4e-6
 
-    def __init__(self, batches: list[pa.RecordBatch], books: Codebooks, settings: IndexSettings) -> None:
-        table = pa.Table.from_batches(batches)
-        ids = table.column("id").combine_chunks().to_pylist()
-        raw = _raw(table.column("vec").combine_chunks(), settings.dim)
+    def __init__(self, rows: list[tuple[list[bytes], np.ndarray, np.ndarray]], books: Codebooks, settings: IndexSettings) -> None:
+        ids = [i for part, _, _ in rows for i in part]
+        raw = np.concatenate([part for _, part, _ in rows])
+        reach = np.concatenate([part for _, _, part in rows])
         order = sorted(range(len(ids)), key=ids.__getitem__)
         seen: Counter = Counter()
         kept = []
@@ -341,15 +359,15 @@ class _Block:
             seen[key] += 1
             kept.append(i)
         at = np.array(kept, dtype=np.int64)
-        cell = books.cells(_unit(raw[at]))
+        cell = np.concatenate([books.cells(_unit(raw[at[low : low + 8192]])) for low in range(0, len(at), 8192)])
         by_cell = cell.argsort(kind="stable")
         at, cell = at[by_cell], cell[by_cell]
         self.books, self.settings = books, settings
         self.rank = by_cell  # ids are in order before the cells are
         self.ids = [ids[i] for i in at]
         self.raw = raw[at]
-        self.reach = table.column("reach").combine_chunks().to_numpy(zero_copy_only=False)[at]
-        self.unit = _unit(self.raw).astype(np.float32)
+        self.reach = reach[at]
+        self.scale = np.concatenate([1.0 / np.linalg.norm(self.raw[low : low + 8192].astype(np.float64), axis=1) for low in range(0, len(at), 8192)]).astype(np.float32)
         starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         self.start, self.end = starts, np.append(starts[1:], len(cell))
         width = len(books.second)
@@ -359,10 +377,10 @@ class _Block:
         self.row_end = np.append(self.row_start[1:], len(starts))
         self.crowds = {int(c): _Crowd(_unit(self.raw[a:b]), a, settings) for c, (a, b) in enumerate(zip(starts, self.end)) if b - a > settings.crowded_cell}
 
-    def own(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The entries as queries, each vector once."""
+    def own(self, slices: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entries of a slice as queries, each vector once."""
         seen: set[bytes] = set()
-        first = [i for i in range(len(self.raw)) if (key := self.raw[i].tobytes()) not in seen and not seen.add(key)]
+        first = [i for i in range(len(self.raw)) if _slice_of(key := self.raw[i].tobytes(), slices) == piece and key not in seen and not seen.add(key)]
         for low in range(0, len(first), self.STEP):
             yield self.raw[first[low : low + self.STEP]], self.reach[first[low : low + self.STEP]]
 
@@ -393,7 +411,7 @@ class _Block:
         if not nears:
             return
         query, near = np.concatenate(queries), np.concatenate(nears)
-        rough = np.einsum("ij,ij->i", self.unit[near], unit[query])
+        rough = np.einsum("ij,ij->i", self.raw[near], unit[query]) * self.scale[near]
         order = np.lexsort((-rough, query))
         query, near, rough = query[order], near[order], rough[order]
         begins = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
@@ -413,8 +431,8 @@ class _Block:
             low = high
 
 
-def _scan(books, settings: IndexSettings):
-    """Rows sorted by block and kind: entries are gathered first, then they and every query are compared with them."""
+def _scan(books, settings: IndexSettings, slices: int):
+    """Rows sorted by slot and kind: entries are gathered first, then they and every query are compared with them."""
 
     def answers(index: _Block, raw: np.ndarray, reach: np.ndarray) -> pa.RecordBatch:
         found = list(index.best(raw, reach))
@@ -422,33 +440,32 @@ def _scan(books, settings: IndexSettings):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = -1
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[list[bytes], np.ndarray, np.ndarray]] = []
         index: _Block | None = None
 
         def opened() -> Iterator[pa.RecordBatch]:
             nonlocal index, held
             if held:
                 index, held = _Block(held, books.value, settings), []
-                for raw, reach in index.own():
+                for raw, reach in index.own(slices, here % slices):
                     yield answers(index, raw, reach)
 
         for batch in batches:
-            block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            change = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for low, high in zip(np.append(0, change).tolist(), np.append(change, len(block)).tolist()):
+            slot, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            change = np.flatnonzero((slot[1:] != slot[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for low, high in zip(np.append(0, change).tolist(), np.append(change, len(slot)).tolist()):
                 if low == high:
                     continue
-                if int(block[low]) != here:
+                if int(slot[low]) != here:
                     yield from opened()
-                    here, held, index = int(block[low]), [], None
+                    here, held, index = int(slot[low]), [], None
                 part = batch.slice(low, high - low)
+                raw, reach = _raw(part.column(2), settings.dim), part.column(4).to_numpy()
                 if kind[low] == 0:
-                    held.append(part)
+                    held.append((part.column(3).to_pylist(), raw.copy(), reach.copy()))
                     continue
                 yield from opened()
                 if index is not None:
-                    raw = _raw(part.column(2), settings.dim)
-                    reach = part.column(4).to_numpy()
                     for at in range(0, len(raw), _Block.STEP):
                         yield answers(index, raw[at : at + _Block.STEP], reach[at : at + _Block.STEP])
         yield from opened()
@@ -530,12 +547,14 @@ def nearest_entries(entries: DataFrame, others: DataFrame, settings: IndexSettin
     sizes = np.zeros(len(books.first) * len(books.second), dtype=np.int64)
     sizes[filled.column("cell").to_numpy()] = filled.column("n").to_numpy()
     number = int(sizes.sum())
-    loads = place_cells(books, np.minimum(sizes, 2**31 - 1).astype(np.int32), sample, settings, max(-(-number // settings.block_entries), min(2 * cores, -(-number // settings.least_block))))
+    wanted = max(-(-number // settings.block_entries), min(-(-cores // settings.most_slices), -(-number // settings.least_block)))
+    blocks = place_cells(books, np.minimum(sizes, 2**31 - 1).astype(np.int32), sample, settings, wanted)
+    slices = min(settings.most_slices, max(1, -(-cores // blocks)))
     placed = spark.sparkContext.broadcast(books)
-    schema = "block int, kind byte, vec binary, id string, reach float"
-    visits = stored.select("id", "vec").mapInArrow(_visits(placed, settings, True), schema).unionByName(outside.select(F.col("query_id").alias("id"), "vec").mapInArrow(_visits(placed, settings, False), schema))
-    dealt = visits.withColumn("id", _packed_id(F.col("id"), short)).repartitionById(len(loads), F.col("block")).sortWithinPartitions("block", "kind")
-    found = dealt.mapInArrow(_scan(placed, settings), "vec binary, best array<binary>").select(*key128(F.col("vec")), F.lit(None).cast("string").alias("side"), F.lit(None).cast("binary").alias("asked"), "best")
+    schema = "slot int, kind byte, vec binary, id string, reach float"
+    visits = stored.select("id", "vec").mapInArrow(_visits(placed, settings, slices, True), schema).unionByName(outside.select(F.col("query_id").alias("id"), "vec").mapInArrow(_visits(placed, settings, slices, False), schema))
+    dealt = visits.withColumn("id", _packed_id(F.col("id"), short)).repartitionById(blocks * slices, F.col("slot")).sortWithinPartitions("slot", "kind")
+    found = dealt.mapInArrow(_scan(placed, settings, slices), "vec binary, best array<binary>").select(*key128(F.col("vec")), F.lit(None).cast("string").alias("side"), F.lit(None).cast("binary").alias("asked"), "best")
     once = outside.groupBy("side", "query_id").agg(F.min(F.struct(*key)).alias("k")).select("k.k1", "k.k2", "side", F.col("query_id").alias("id"))
     asked = stored.select(*key, F.lit("entry").alias("side"), "id").unionByName(once).select(*key, "side", _packed_id(F.col("id"), short).alias("asked"), F.lit(None).cast("array<binary>").alias("best"))
     hot = _hot_vectors(stored.select(*key).unionByName(outside.select(*key)).groupBy(*key).agg(F.count("*").alias("n")), total + asking)
