@@ -16,17 +16,17 @@ COMMON_WORDS = {
     "de": (
         "der die das den dem des ein eine einen einem einer eines und oder ist sind war wird werden wurde nicht kein keine mit für von vom zu zum zur auf aus an am im in bei beim nach bis "
         "über unter um wie was wer wann warum welche welcher welches wenn ob dass als auch nur noch schon so sich es er sie ihr wir uns ich du kann kannst soll muss hat haben bitte damit "
-        "durch ohne aber niemand jede jeder unsere unser meist liegt frage kunde nummer"
+        "durch ohne aber niemand jede jeder unsere unser meist liegt"
     ),
     "fr": (
         "le la les l un une des du de d et ou est sont était a ont pas ne n que qui quoi quand comment pourquoi quel quelle combien si dans sur sous avec sans pour par chez depuis au aux "
         "ce cet cette ces se s son sa ses notre nos votre vos leur il elle on nous vous je j plus moins même mais donc ainsi toujours tout toute tous rien personne être avoir peut faut "
-        "merci réponds demande dossier où"
+        "merci où"
     ),
     "es": (
         "el la los las un una unos unas de del al y o u es son está están era fue no ni que qué quién cuándo cuando cómo por porque para con sin en sobre entre hasta desde hace si sí ya más "
         "menos muy su sus se lo le les nuestro nuestra nuestros nuestras este esta estos esto ese esa pero también solo todo toda todos nada nadie ha han hay puede puedes hay después así "
-        "otra otro responde cliente caso consulta conviene"
+        "otra otro conviene"
     ),
 }
 # Names of the languages in the languages themselves.

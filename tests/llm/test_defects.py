@@ -101,3 +101,27 @@ def test_cut_comes_before_language(spark):
 ])
 def test_record_cut_after_an_inner_bracket(text, state):
     assert P.tail_state(text) == state
+
+
+def test_sentences_of_other_responses_decide(spark):
+    said = ["Nothing else depends on it, so the order of the steps is free.", "The night crew keeps 40 open items of this kind\nAsk first."]
+    data = [("s0", said[0]), ("s1", said[1]), ("w", "Write it down. The night crew keeps 7 open items of this kind"), ("i", "- ask first\n- nothing to add\n- Nothing else depends on it, so the ord"), ("k", "Ask first. Nothing else depends on it, so the")]
+    data += [("e", "Ask first. A sentence that no other response holds, and that just"), ("t", "Ask first. The night crew keeps 7 open items of this kind,")]
+    df = spark.createDataFrame([(i, PROMPT, r) for i, r in data], "id string, prompt string, response string")
+    assert {r.id: (r.defect, r.stage) for r in P.staged_defects(df).collect()} == {i: ("truncated", s) for i, s in (("i", "neighbour"), ("k", "neighbour"), ("e", "end mark"), ("t", "end mark"))}
+
+
+def test_counts_before_lists():
+    assert P.tail_state("A table with 9 columns helps.\n\n- Ask the crew.\n- Count again.") == "complete"
+    assert P.tail_state("You need to know these 6 points.\n- Ask the crew.\n- Count again.") == "broken"
+    assert P.tail_state("word " * 60 + "with these 40 things:\n- Ask the crew.") == "broken"
+
+
+def test_long_refusal_is_one():
+    assert P.is_refusal("I'm sorry, but I can't help with that. " + "I hope you understand. " * 60) and not P.is_refusal("Count again. " * 90 + "I can't help with that.")
+
+
+def test_limits_are_those_of_a_model(spark):
+    data = [("a", "x" * 70 + f"{i:03}") for i in range(40)] + [("b", "y" * 73 + f"{i:03} z" * 3) for i in range(400)]
+    df = spark.createDataFrame(data, "model string, response string")
+    assert [(r.model, r.len) for r in P.spiked_lengths(df).collect() if r.model == "a"] == [("a", 73)]
