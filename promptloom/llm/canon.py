@@ -12,7 +12,9 @@ _INVISIBLE = regex.compile(r"\p{Cf}+")
 _SEPARATORS = regex.compile(r"(?:(?!(?<=\d)[.,](?=\d))[\p{P}\p{Z}\p{C}`´|])+")
 _JOINABLE = regex.compile(r"(?<!\d) | (?!\d)")
 _FIELD = regex.compile(r"^[\W_]*([^\W\d_](?:[^\W\d_]|[ '’]){0,23}?)\s*:(.*)$", regex.S)
-_WORD_OR_NUMBER = regex.compile(r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+|\p{S}")
+#: Letters of scripts that set no space between words; each is a word of its own.
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+_WORD_OR_NUMBER = regex.compile(rf"(?V1)\d+(?:[.,]\d+)*|[{_UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{M}}]--[{_UNSPACED}]]+|\p{{S}}")
 
 #: Share of the segments that must look like ``name: value`` for a text to count as named fields.
 FIELD_SHARE = 0.7

@@ -1,9 +1,11 @@
 """Problem 4: evaluation records that also occur, exactly or almost, in the training split.
 
 Records are hashed in a canonical form: case, punctuation and white space gone, words without content
-dropped and slips inside words undone. Slips are found corpus-wide: a word is taken for a slip if a word in far
-more different records lies within two letters of it, which a join on deletion variants finds without comparing
-all words. Rare words have no such evidence; records that differ in nothing else are compared word by word.
+dropped and slips inside words undone. Candidates for slips are found corpus-wide: words within two letters of one in
+far more different records, by a join on deletion variants without comparing all words. Such a word is a slip only if
+each record that holds it, once corrected, is another record of the corpus, so it has no use of its own; or if it is
+next to nothing beside the other. Rare words have no such evidence; records that differ in nothing else are compared
+word by word.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ EMPTY_PHRASES = [("thank", "you", "very", "much"), ("thank", "you"), ("for", "me
 COURTESY_WORDS = EMPTY_WORDS.union(*EMPTY_PHRASES)
 #: In how many times as many different records a word must be as one that is taken for a slip of it.
 SLIP_RATIO = 8
+#: A word in this many times fewer records than another within two letters is a slip of it wherever it stands.
+SURE_RATIO = 1000
+#: Words with more letters are looked up by thirds, one of which two slips leave alone, not by what deletions leave.
+LONG_WORD = 16
 #: Largest number of corrections that is broadcast; more are joined by a shuffle.
 BROADCAST_CORRECTIONS = 500_000
 _PHRASES_BY_HEAD: dict[str, list[tuple[str, ...]]] = {}
@@ -75,8 +81,20 @@ def within_slips(a: str, b: str, limit: int) -> int | None:
     return before[-1] if before[-1] <= limit else None
 
 
+def _thirds(word: str) -> set[str]:
+    """Keys of a long word: beginning, end and stretches around its middle; words within two letters share one."""
+    out = set()
+    for step in {(len(word) + d) // 6 for d in (-2, 0, 2)}:
+        part = 2 * step - 2
+        out |= {f"{step}<{word[:part]}", f"{step}>{word[-part:]}"}
+        out |= {f"{step}={word[at : at + part]}" for at in range(part, min(len(word) - part, 2 * part + 10) + 1)}
+    return out
+
+
 def deletion_variants(word: str) -> set[str]:
-    """The word with up to ``slip_limit`` letters left out; words within the limit share a variant."""
+    """The word with up to ``slip_limit`` letters left out, or the thirds of a long one; words within the limit share a variant."""
+    if len(word) > LONG_WORD:
+        return _thirds(word)
     out = {word}
     for k in range(1, slip_limit(len(word)) + 1):
         for drop in combinations(range(len(word)), k):
@@ -110,16 +128,16 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         d = [within_slips(x, y, min(slip_limit(len(x)), slip_limit(len(y)))) for x, y in zip(a, b)]
         keep = [i for i, x in enumerate(d) if x is not None]
-        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in range(3)] + [pa.array([d[i] for i in keep], pa.int32())], ["word", "better", "m", "d"])
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in range(4)] + [pa.array([d[i] for i in keep], pa.int32())], ["word", "better", "n", "m", "d"])
 
 
 def slip_corrections(tokens: DataFrame, *, ratio: int = SLIP_RATIO) -> DataFrame:
-    """``(word, better)`` for each word of the column ``token`` that is a slip of a far more frequent one.
+    """``(word, better)`` for each word of the column ``token`` that may be a slip of a far more frequent one.
 
     Closest word first, then the more frequent, then the smaller. Words with digits and those of courtesies are never
     corrected, nor are words that others are corrected to.
     """
-    return _corrections(materialize(word_counts(tokens)), ratio)
+    return _corrections(materialize(word_counts(tokens)), ratio).select("word", "better")
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -132,10 +150,10 @@ def _corrections(counts: DataFrame, ratio: int) -> DataFrame:
     schema = "variant string, word string, n long"
     rare = counts.where((F.col("n") * ratio <= top) & ~F.col("token").isin(sorted(COURTESY_WORDS))).mapInArrow(_variants, schema)
     known = counts.where(F.col("n") >= ratio).mapInArrow(_variants, schema).select("variant", F.col("word").alias("better"), F.col("n").alias("m"))
-    near = rare.join(known, "variant").where(F.col("m") >= F.col("n") * ratio).select("word", "better", "m").distinct()
-    judged = near.mapInArrow(_distances, "word string, better string, m long, d int")
+    near = salted_join(rare, known, ["variant"]).where(F.col("m") >= F.col("n") * ratio).select("word", "better", "n", "m").distinct()
+    judged = near.mapInArrow(_distances, "word string, better string, n long, m long, d int")
     best = W.Window.partitionBy("word").orderBy("d", F.desc("m"), "better")
-    chosen = materialize(judged.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "better"))
+    chosen = materialize(judged.withColumn("r", F.row_number().over(best)).where("r = 1").select("word", "better", "n", "m"))
     return chosen.join(chosen.select(F.col("better").alias("word")).distinct(), "word", "left_anti")
 
 
@@ -174,11 +192,34 @@ def record_keys(pairs: DataFrame, *, id_col: str, a_col: str, b_col: str, ratio:
     records = split.groupBy("c1", "c2").agg(F.max(F.struct((F.size("a") + F.size("b")).alias("size"), "a", "b")).alias("r"))
     counts = materialize(word_counts(records.select(F.explode(F.array_distinct(F.concat("r.a", "r.b"))).alias("token"))))
     fixes = _corrections(counts, ratio).withColumnRenamed("word", "token")
-    marks = materialize(counts.join(fixes, "token", "left").where((F.col("n") < ratio) | F.col("better").isNotNull()))
+    schema = f"row_id {id_type}, k1 long, k2 long, f1 long, f2 long, rare array<string>, seen array<long>, even boolean"
+    found = materialize(_marked(split, counts.select("token").join(fixes, "token").select("token", "n", "better")))
+    allowed = fixes.join(_own_use(split, found, schema), "token", "left").where(F.col("own").isNull() | (F.col("n") * SURE_RATIO <= F.col("m"))).select("token", "better")
+    marks = materialize(counts.join(allowed, "token", "left").where((F.col("n") < ratio) | F.col("better").isNotNull()))
+    return _rewritten(split, _marked(split, marks), schema)
+
+
+def _marked(split: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(row_id, token, mark)``: where words of ``marks(token, n, better)`` stand in the records."""
     placed = split.select("row_id", F.lit(0).alias("side"), F.posexplode("a").alias("pos", "token")).unionByName(split.select("row_id", F.lit(1).alias("side"), F.posexplode("b").alias("pos", "token")))
     found = placed.join(F.broadcast(marks), "token") if marks.count() <= BROADCAST_CORRECTIONS else salted_join(placed, marks, ["token"])
-    per_row = found.groupBy("row_id").agg(F.collect_list(F.struct("side", "pos", "token", "n", "better")).alias("marked"))
-    return split.join(per_row, "row_id", "left").select("row_id", "a", "b", "marked").mapInArrow(_hashed, f"row_id {id_type}, k1 long, k2 long, f1 long, f2 long, rare array<string>, seen array<long>, even boolean")
+    return found.select("row_id", "token", F.struct("side", "pos", "token", "n", "better").alias("mark"))
+
+
+def _rewritten(split: DataFrame, found: DataFrame, schema: str) -> DataFrame:
+    per_row = found.groupBy("row_id").agg(F.collect_list("mark").alias("marked"))
+    return split.join(per_row, "row_id", "left").select("row_id", "a", "b", "marked").mapInArrow(_hashed, schema)
+
+
+def _own_use(split: DataFrame, found: DataFrame, schema: str) -> DataFrame:
+    """``(token, own)``: words in a record that, with all slips undone, is no other record without the word."""
+    touched = found.select("row_id").distinct()
+    corrected = _rewritten(split, found, schema).select("row_id", "k1", "k2")
+    keyed = materialize(split.select("row_id", "c1", "c2").join(corrected, "row_id"))
+    holders = keyed.join(found.select("row_id", "token").distinct(), "row_id").select("k1", "k2", "c1", "c2", "token").distinct().groupBy("k1", "k2", "token").agg(F.count("*").alias("holding"))
+    wanted = keyed.join(touched, "row_id", "left_semi").select("k1", "k2").distinct()
+    records = keyed.select("k1", "k2", "c1", "c2").distinct().join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("records"))
+    return holders.join(records, ["k1", "k2"]).where("holding >= records").select("token").distinct().withColumn("own", F.lit(True))
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

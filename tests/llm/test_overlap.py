@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from promptloom.llm import split_overlap as S
@@ -84,3 +86,29 @@ def test_courtesies_are_not_corrected(spark, rows):
 def test_a_word_with_slips_of_its_own_is_none(spark, rows):
     df = spark.createDataFrame([("spirnt",)] + [("sprint",)] * 10 + [("split",)] * 100, "token string")
     assert rows(S.slip_corrections(df)) == [("spirnt", "sprint")]
+
+
+@pytest.mark.parametrize("few,many,n,m", [("contract", "contact", 9, 80), ("renew", "review", 10, 100), ("ulmer", "ulmen", 5, 50)])
+def test_words_with_a_use_of_their_own_are_kept_apart(spark, rows, few, many, n, m):
+    text = "file the {w} of the {c} crew in room {i}"
+    crews = ["night", "search", "billing", "support", "garden"]
+    data = [(i, text.format(w=many, c=crews[i % 5], i=i), "x y", "train", "s") for i in range(m)]
+    data += [(500 + i, text.format(w=few, c=crews[i % 5], i=i if i == 0 else 700 + i), "x y", "test", "s") for i in range(n)]
+    df = spark.createDataFrame(data + [(900, text.format(w=many[:-2] + many[-1] + many[-2], c="night", i=5), "x y", "test", "s")], "pair_id long, prompt_a string, prompt_b string, split string, source string")
+    assert _both(spark, rows, df) == [(5, 900)]
+
+
+def test_long_words_and_unspaced_scripts(spark, rows):
+    rng = random.Random(4)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(17, 60)))
+        b = list(a)
+        for _ in range(2):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], ["z"], [b[at], "z"]])
+        if len(b) > S.LONG_WORD:
+            assert S.deletion_variants(a) & S.deletion_variants("".join(b))
+    assert len(S.deletion_variants("x" * 400)) < 1000
+    assert words("東京の天気 is ok") == ["東", "京", "の", "天", "気", "is", "ok"]
+    df = spark.createDataFrame([(1, "東京の天気は晴れです", "x y", "train", "s"), (2, "大阪の天気は晴れです", "x y", "test", "s"), (3, "東京の天気は、晴れです。", "x y", "test", "s")], "pair_id long, prompt_a string, prompt_b string, split string, source string")
+    assert _both(spark, rows, df) == [(1, 3)]
