@@ -13,9 +13,13 @@ from __future__ import annotations
 import base64
 import json
 import os
+import unicodedata
 from array import array
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: Folder with the public vocabularies.
@@ -33,22 +37,77 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def load_merges(path: str) -> tuple[dict[bytes, int], list[tuple[int, int, int]]]:
-    """Ids of the tokens and the merges ``(left, right, result)`` in order of priority."""
+@dataclass(frozen=True)
+class TextRules:
+    """What is done to a text before merging: normalising steps, the words that are kept, and how a word's end is marked."""
+
+    steps: tuple[Callable[[str], str], ...] = ()
+    pattern: str = WORD_PATTERN
+    suffix: str = ""
+
+
+#: Added to the last symbol of a word in vocabularies that mark ends of words.
+WORD_END = 256
+
+
+def _normalising_steps(rule: dict | None) -> tuple[Callable[[str], str], ...]:
+    if rule is None:
+        return ()
+    kind = rule["type"]
+    if kind == "Sequence":
+        return tuple(step for part in rule["normalizers"] for step in _normalising_steps(part))
+    if kind in ("NFC", "NFD", "NFKC", "NFKD"):
+        return (lambda text: unicodedata.normalize(kind, text),)
+    if kind == "Lowercase":
+        return (lambda text: "".join(map(str.lower, text)),)  # letter by letter: no rule for the end of a word
+    if kind == "Replace" and "Regex" in rule["pattern"]:
+        compiled = regex.compile(rule["pattern"]["Regex"])
+        return (lambda text: compiled.sub(lambda _: rule["content"], text),)
+    raise ValueError(f"unknown normaliser {kind!r}")
+
+
+def text_rules(file: dict) -> TextRules:
+    """The rules of a vocabulary file; any that this encoder does not know is a ValueError, never a wrong id."""
+    model, words = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("dropout") or model.get("ignore_merges"):
+        raise ValueError("only plain byte-pair merges are supported")
+    suffix = model.get("end_of_word_suffix") or ""
+    parts = words["pretokenizers"] if words.get("type") == "Sequence" else [words]
+    level = parts[-1]
+    if level.get("type") != "ByteLevel" or level.get("add_prefix_space"):
+        raise ValueError("only byte-level vocabularies without an added space are supported")
+    steps = _normalising_steps(file.get("normalizer"))
+    if len(parts) == 1 and level.get("use_regex", True):
+        return TextRules(steps, WORD_PATTERN, suffix)
+    if len(parts) == 2 and not level.get("use_regex", True) and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and "Regex" in parts[0]["pattern"]:
+        return TextRules(steps, parts[0]["pattern"]["Regex"], suffix)
+    raise ValueError("unknown rule for cutting words")
+
+
+def load_merges(path: str) -> tuple[dict[tuple[int, ...], int], list[tuple[int, int, int]], TextRules]:
+    """Ids of the tokens (as symbols: bytes, the last one of a word's end marked), the merges ``(left, right, result)`` in
+    order of priority, and the rules for texts."""
     if path.endswith(".tiktoken"):
         with open(path, "rb") as lines:
             ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return ids, _recovered_merges(ids)
+        return {tuple(t): n for t, n in ids.items()}, _recovered_merges(ids), TextRules()
     with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    rules, model = text_rules(whole), whole["model"]
     letters = byte_letters()
-    raw = {t: bytes(letters[c] for c in t) for t in model["vocab"] if all(c in letters for c in t)}
-    ids = {b: model["vocab"][t] for t, b in raw.items()}
+    ids = {}
+    for token, number in model["vocab"].items():
+        final = bool(rules.suffix) and token.endswith(rules.suffix)
+        core = token.removesuffix(rules.suffix) if final else token
+        if core and all(c in letters for c in core):
+            symbols = [letters[c] for c in core]
+            symbols[-1] += WORD_END if final else 0
+            ids[tuple(symbols)] = number
     merges = []
     for merge in model["merges"]:
         left, right = merge if isinstance(merge, list) else merge.split(" ")
         merges.append((model["vocab"][left], model["vocab"][right], model["vocab"][left + right]))
-    return ids, merges
+    return ids, merges, rules
 
 
 def _recovered_merges(ids: dict[bytes, int]) -> list[tuple[int, int, int]]:
@@ -72,11 +131,15 @@ def _recovered_merges(ids: dict[bytes, int]) -> list[tuple[int, int, int]]:
 class TokenAutomaton:
     """Deterministic automaton whose arcs are tokens and whose paths are exactly the encodings of words."""
 
-    def __init__(self, ids: dict[bytes, int], merges: list[tuple[int, int, int]]) -> None:
+    def __init__(self, ids: Mapping[Sequence[int], int], merges: list[tuple[int, int, int]], *, marks_ends: bool = False) -> None:
+        ids = {tuple(token): number for token, number in ids.items()}
         size = max(ids.values()) + 1
-        self.labels: list[bytes] = [b""] * size
+        self.marks_ends = marks_ends
+        self.symbols: list[tuple[int, ...]] = [()] * size
         for token, number in ids.items():
-            self.labels[number] = token
+            self.symbols[number] = token
+        #: What decoding emits; the end of a word is a space.
+        self.labels = [bytes(c % WORD_END for c in t) + (b" " if t and t[-1] >= WORD_END else b"") for t in self.symbols]
         #: Number of the gadget that added a state and its arc label; 0 is the start automaton of single bytes.
         self.added = array("i", [0]) * size
         #: The token whose outgoing arcs a state inherited, and the token whose incoming arcs a label inherited.
@@ -88,7 +151,8 @@ class TokenAutomaton:
         for step, (left, right, result) in enumerate(merges, 1):
             self._add_gadget(step, left, right, result)
         self.trie = self._label_trie()
-        self.byte_ids = array("i", [ids.get(bytes([b]), -1) for b in range(256)])
+        self.label_sizes = np.array([len(label) for label in self.labels], dtype=np.int64)
+        self.symbol_ids = array("i", [ids.get((b,), -1) for b in range(2 * WORD_END)])
         self._memory: dict[str, array] = {}
         self._arc_memory: dict[int, bool] = {}
 
@@ -99,16 +163,16 @@ class TokenAutomaton:
         self.removed[left * self.size + right] = step
 
     def _label_trie(self) -> dict[int, int]:
-        """``node * 256 + byte -> node`` where nodes below ``size`` would be labels: kept as two dicts."""
+        """``node * 512 + symbol -> node``, and the label that ends at a node."""
         self.label_at: dict[int, int] = {}
         trie: dict[int, int] = {}
         nodes = 1
-        for number, token in enumerate(self.labels):
+        for number, token in enumerate(self.symbols):
             if not token:
                 continue
             node = 0
-            for byte in token:
-                step = node * 256 + byte
+            for symbol in token:
+                step = node * 2 * WORD_END + symbol
                 following = trie.get(step)
                 if following is None:
                     following = trie[step] = nodes
@@ -146,8 +210,11 @@ class TokenAutomaton:
     def encode_bytes(self, word: bytes) -> list[int]:
         """The only path of the automaton that spells ``word``."""
         n = len(word)
+        symbols = list(word)
+        if self.marks_ends:
+            symbols[-1] += WORD_END
         if n == 1:
-            return [self.byte_ids[word[0]]]
+            return [self.symbol_ids[symbols[0]]]
         last = [-1] * (n + 1)
         trie, label_at, has_arc = self.trie, self.label_at, self.has_arc
         for start in range(n):
@@ -156,7 +223,7 @@ class TokenAutomaton:
                 continue
             node = 0
             for end in range(start, n):
-                node = trie.get(node * 256 + word[end], -1)
+                node = trie.get(node * 512 + symbols[end], -1)
                 if node < 0:
                     break
                 label = label_at.get(node)
@@ -166,7 +233,7 @@ class TokenAutomaton:
         at = n
         while at:
             out.append(last[at])
-            at -= len(self.labels[last[at]])
+            at -= len(self.symbols[last[at]])
         out.reverse()
         return out
 
@@ -185,21 +252,32 @@ class ByteTokenizer:
     """Words of the published pattern, each encoded by the automaton. Special tokens are ordinary text."""
 
     def __init__(self, path: str) -> None:
-        self.automaton = TokenAutomaton(*load_merges(path))
-        self.pattern = regex.compile(WORD_PATTERN)
+        ids, merges, self.rules = load_merges(path)
+        self.automaton = TokenAutomaton(ids, merges, marks_ends=bool(self.rules.suffix))
+        self.pattern = regex.compile(self.rules.pattern)
+
+    @property
+    def exact(self) -> bool:
+        """Whether decoding gives the text back byte by byte."""
+        return not self.rules.steps and not self.rules.suffix and self.rules.pattern == WORD_PATTERN
+
+    def words(self, text: str) -> list[str]:
+        for step in self.rules.steps:
+            text = step(text)
+        return self.pattern.findall(text)
 
     def encode(self, text: str | None) -> array:
         """Ids of a text; an empty or null text has none."""
         out = array("i")
         if text:
             encode = self.automaton.encode_word
-            for word in self.pattern.findall(text):
+            for word in self.words(text):
                 out.extend(encode(word))
         return out
 
     def count(self, text: str | None) -> int:
         encode = self.automaton.encode_word
-        return sum(len(encode(w)) for w in self.pattern.findall(text)) if text else 0
+        return sum(len(encode(w)) for w in self.words(text)) if text else 0
 
     def decode_bytes(self, ids) -> bytes:
         labels = self.automaton.labels
@@ -210,7 +288,7 @@ class ByteTokenizer:
 
 
 def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
-    """File of a byte-level tokenizer; other kinds of vocabularies are not byte-level merges."""
+    """File of a byte-level tokenizer; a vocabulary of another kind is an error, never a wrong id."""
     for ending in (".json", ".tiktoken"):
         path = os.path.join(folder, name + ending)
         if os.path.exists(path):

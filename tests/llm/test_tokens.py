@@ -129,3 +129,47 @@ def test_cuts_prefer_strong_boundaries():
     strength = np.zeros(100, dtype=np.int8)
     strength[[30, 55, 60]] = [4, 6, 6]
     assert B.bisect_cuts(strength, 80, 70)[0] == (0, 56)
+
+
+def test_word_end_vocabulary_equals_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    own, other = bpe.tokenizer("word_bpe_49k"), tokenizers.Tokenizer.from_file(f"{bpe.TOKENIZER_DIR}/word_bpe_49k.json")
+    other.encode_special_tokens = True
+    for text in ["Hello  World's\n 12 naïve ΑΣ cafés 東京 \U0001f44d ok", "a", "", "x" * 70, "don't WE'LL <|endoftext|>", "1 234,5 -- ???"]:
+        assert list(own.encode(text)) == other.encode(text, add_special_tokens=False).ids
+    assert not own.exact and own.decode(own.encode("Hello World")) == "hello world "
+
+
+def test_unknown_rules_are_refused():
+    model = {"type": "BPE", "vocab": {}, "merges": []}
+    for file in ({"model": {**model, "byte_fallback": True}}, {"model": model, "pre_tokenizer": {"type": "Metaspace"}}, {"model": model, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "normalizer": {"type": "Prepend"}}):
+        with pytest.raises(ValueError):
+            bpe.text_rules(file)
+    with pytest.raises(FileNotFoundError):
+        bpe.tokenizer("piece_bpe_32k")
+
+
+def test_indivisible_texts_and_wide_overlaps():
+    tok = bpe.tokenizer("byte_bpe_50k")
+    family = "\u200d".join(["\U0001f468"] * 300)  # one visible character
+    pieces = B.TextSplitter(family, tok).split(16, 0)
+    assert "".join(p[4] for p in pieces) == family and max(p[3] for p in pieces) <= 16
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    pieces = B.TextSplitter(text, tok).split(8, 6)
+    assert all(p[0] - p[1] == 6 for p in pieces[1:]) and max(p[3] for p in pieces) <= 8 and pieces[-1][2] == len(tok.encode(text))
+    assert [p[4] for p in B.TextSplitter("\U0001f9ff", tok).split(1, 0)] == ["\U0001f9ff"]
+    with pytest.raises(ValueError):
+        B.TextSplitter(text, tok).split(8, 8)
+
+
+def test_flags_are_never_divided():
+    tok = bpe.tokenizer("byte_bpe_50k")
+    pieces = B.TextSplitter("\U0001f1e9\U0001f1ea" * 50, tok).split(20, 0)
+    assert len(pieces) > 5 and all(len(p[4]) % 2 == 0 for p in pieces)
+
+
+def test_sizes_of_pieces_are_exact():
+    tok = bpe.tokenizer("byte_bpe_50k")
+    text = "It'llama  goes\n\n\n on  \t and on, we'll see: 12345 67 — naïve 東京です…   " * 30
+    for limit, overlap in ((12, 5), (40, 0), (64, 63)):
+        assert all(p[3] == tok.count(p[4]) for p in B.TextSplitter(text, tok).split(limit, overlap))
