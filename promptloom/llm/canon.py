@@ -11,7 +11,9 @@ import xxhash
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _SEPARATORS = regex.compile(r"(?:(?!(?<=\d)[.,](?=\d))[\p{P}\p{Z}\p{C}`´|])+")
 _JOINABLE = regex.compile(r"(?<!\d) | (?!\d)")
-_FIELD = regex.compile(r"^[\W_]*([^\W\d_](?:[^\W\d_]|[ '’]){0,23}?)\s*:(.*)$", regex.S)
+_FIELD = regex.compile(r"^[\W_]*([^\W\d_](?:[^\W_]|[ '’_-])*?)\s*(?:(?<!\d)[:=]|[:=](?!\d))(.*)$", regex.S)
+#: What may set fields off, in the order in which it is looked for; a text whose parts are not mostly fields is tried with the next.
+_FIELD_BREAKS = [regex.compile(p) for p in (r"[;\r\n\u2028\u2029]+", r"\|+", r"\t+", r"(?<=\s)/+(?=\s)|(?<=\s)[–—]+(?=\s)|[•·]+", r",(?!\d)|(?<!\d),")]
 #: Letters of scripts that set no space between words; each is a word of its own.
 _UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 _WORD_OR_NUMBER = regex.compile(rf"(?V1)\d+(?:[.,]\d+)*|[{_UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{M}}]--[{_UNSPACED}]]+|\p{{S}}")
@@ -36,7 +38,11 @@ def words(text: str) -> list[str]:
 
 
 def named_fields(text: str) -> list[tuple[str, str]] | None:
-    """``(name, value)`` of a text written as fields, in JSON, in lines or between semicolons, else None."""
+    """``(name, value)`` of a text written as fields, in JSON, in lines or set off by signs, else None.
+
+    A name ends at a colon or an equals sign. The first of the signs that makes most parts fields is the one that
+    sets them off; a part without a name goes on with the value before it.
+    """
     body = text.strip()
     if body[:1] == "{" and body[-1:] == "}":
         try:
@@ -45,7 +51,17 @@ def named_fields(text: str) -> list[tuple[str, str]] | None:
             loaded = None
         if isinstance(loaded, dict) and len(loaded) > 1:
             return [(str(k), v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)) for k, v in loaded.items()]
-    segments = [s for s in regex.split(r"[;\r\n  ]+", body) if s.strip()]
+    if ":" not in body and "=" not in body:
+        return None
+    for sign in _FIELD_BREAKS:
+        fields = _fields_between(sign.split(body))
+        if fields is not None:
+            return fields
+    return None
+
+
+def _fields_between(parts: list[str]) -> list[tuple[str, str]] | None:
+    segments = [p for p in parts if p and p.strip()]
     if len(segments) < 2:
         return None
     fields: list[tuple[str, str]] = []

@@ -12,9 +12,8 @@ from pyspark.sql import window as W
 from promptloom.llm.canon import digest, format_free_key
 from promptloom.runtime import materialize, shuffle_width
 
-#: A key is hot above this share of all rows (and HOT_FLOOR rows), so there are at most 1 / HOT_SHARE of them.
+#: A key is hot above this share of all rows, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 500
-HOT_FLOOR = 50_000
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,11 +29,11 @@ def keyed_prompts(entries: DataFrame, id_col: str = "id", text_col: str = "promp
     return base.mapInArrow(_keyed, "id string, k1 long, k2 long")
 
 
-def _hot_keys(keyed: DataFrame, share: float, floor: int) -> tuple[DataFrame, DataFrame | None]:
+def _hot_keys(keyed: DataFrame, share: float) -> tuple[DataFrame, DataFrame | None]:
     """Exact counts per key (partial counts first) and the hot keys, a table of at most 1/share rows."""
     counts = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
     total = keyed.count()
-    limit = max(floor, int(total * share))
+    limit = max(1, int(total * share))
     if total <= limit:
         return counts, None
     hot = counts.where(F.col("copies") > limit).select("k1", "k2").collect()
@@ -55,14 +54,14 @@ def _salted_groups(rows: DataFrame) -> DataFrame:
     return first.groupBy("k1", "k2").agg(F.min("kept_id").alias("kept_id"), F.sum("copies").alias("copies"))
 
 
-def format_groups(entries: DataFrame, *, id_col: str = "id", text_col: str = "prompt", hot_share: float = HOT_SHARE, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def format_groups(entries: DataFrame, *, id_col: str = "id", text_col: str = "prompt", hot_share: float = HOT_SHARE) -> DataFrame:
     """One row ``(kept_id, copies)`` per canonical record: its smallest id and how many rows it stands for.
 
     Rows with a null text are in no group. Texts without any letter, digit or symbol form one group. Equal
     rows each count. Empty input gives no rows; other columns are ignored.
     """
     keyed = materialize(keyed_prompts(entries, id_col, text_col))
-    _, hot = _hot_keys(keyed, hot_share, hot_floor)
+    _, hot = _hot_keys(keyed, hot_share)
     one_level = lambda rows: rows.groupBy("k1", "k2").agg(F.min("id").alias("kept_id"), F.count("*").alias("copies"))
     if hot is None:
         return one_level(keyed).select("kept_id", "copies")
@@ -70,7 +69,7 @@ def format_groups(entries: DataFrame, *, id_col: str = "id", text_col: str = "pr
     return one_level(rest).unionByName(_salted_groups(crowded)).select("kept_id", "copies")
 
 
-def format_copies(entries: DataFrame, *, id_col: str = "id", text_col: str = "prompt", hot_share: float = HOT_SHARE, hot_floor: int = HOT_FLOOR) -> DataFrame:
+def format_copies(entries: DataFrame, *, id_col: str = "id", text_col: str = "prompt", hot_share: float = HOT_SHARE) -> DataFrame:
     """One row ``(kept_id, copy_id)`` for each row that repeats another but for formatting.
 
     ``kept_id`` is the smallest id of the group. Nulls, blanks and empty input as in :func:`format_groups`.
@@ -78,7 +77,7 @@ def format_copies(entries: DataFrame, *, id_col: str = "id", text_col: str = "pr
     aggregation and is broadcast to its rows; all other groups are small enough for one sorted shuffle.
     """
     keyed = materialize(keyed_prompts(entries, id_col, text_col))
-    _, hot = _hot_keys(keyed, hot_share, hot_floor)
+    _, hot = _hot_keys(keyed, hot_share)
     rest = keyed
     parts = []
     if hot is not None:

@@ -9,9 +9,10 @@ from promptloom.llm.canon import digest, format_free_key
 
 SAME = [
     ("Can you move it, within 3.5 hours?", "« can  you — MOVE it within 3.5 hours »"), ('{"ask": "move it", "ref": "12"}', "REF : 12;\nAsk: move  it;"), ("ask: a; to: b; from: c", "from: c\n\nto: b\n\nask: a."),
+    ("Name: Ann, City: Ulm", "City: Ulm; name: ANN"), ("Name: Ann | City: Ulm", "City: Ulm | Name: Ann"), ("Name = Ann\tCity 2 = Ulm", "city 2: Ulm, name: Ann"), ("a very long name of a field with many words: x\nb: y", "b: y / a very long name of a field with many words: x"),
     ("« Straße »", "STRASSE"), ("a​b", "ab"), ("frage: Was: jetzt?; kunde: x", '{"kunde": "x", "frage": "Was: jetzt?"}'), ("", " 　…"),
 ]
-OTHER = [("within 3.5 hours", "within 35 hours"), ("within 3,5 hours", "within 3.5 hours"), ("from: a; to: b", "from: b; to: a"), ("room 12 3", "room 123"), ("move it", "move them"), ("café", "cafe"), ("a + b", "a b")]
+OTHER = [("within 3.5 hours", "within 35 hours"), ("within 3,5 hours", "within 3.5 hours"), ("from: a; to: b", "from: b; to: a"), ("name: Ann, city: Ulm", "name: Ulm, city: Ann"), ("at 10:30, at 11:40", "at 11:40, at 10:30"), ("room 12 3", "room 123"), ("move it", "move them"), ("café", "cafe"), ("a + b", "a b")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -30,8 +31,8 @@ def test_separators_do_not_matter(words, separator):
     assert format_free_key(" ".join(words)) == format_free_key(separator.join(w.upper() for w in words) + "!")
 
 
-@pytest.mark.parametrize("floor", [2, 50_000])
-def test_groups_and_copies_with_and_without_hot_keys(spark, rows, floor):
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_groups_and_copies_with_and_without_hot_keys(spark, rows, share):
     data = [(f"{i:04}", text, "x") for i, text in enumerate(["Same text!", "same  TEXT", "other", None, "same text"] * 40 + ["alone"])]
     df = spark.createDataFrame(data, "id string, prompt string, kept_id string")
     keys: dict = {}
@@ -39,8 +40,8 @@ def test_groups_and_copies_with_and_without_hot_keys(spark, rows, floor):
         if text is not None:
             keys.setdefault(format_free_key(text), []).append(i)
     groups = sorted((min(v), len(v)) for v in keys.values())
-    assert rows(D.format_groups(df, hot_floor=floor, hot_share=0.1)) == groups
-    assert rows(D.format_copies(df, hot_floor=floor, hot_share=0.1)) == sorted((min(v), i) for v in keys.values() for i in v if i != min(v))
+    assert rows(D.format_groups(df, hot_share=share)) == groups
+    assert rows(D.format_copies(df, hot_share=share)) == sorted((min(v), i) for v in keys.values() for i in v if i != min(v))
 
 
 def test_nothing_in_nothing_out(spark):
