@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -57,7 +56,6 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif args.command == "train-classifier":
         pairs = PM.embedded(read_pairs(spark, args.pairs, split=args.split), embed)
         model = PM.train(pairs, dim=args.dim, threshold=0.5 if args.threshold is None else args.threshold, settings=PM.TrainSettings(epochs=args.epochs))
-        os.makedirs(args.model, exist_ok=True)
         model.save(spark, args.model)
         print(json.dumps({"rows": model.card["rows"], "loss": model.card["losses"][-1]}))
     elif args.command == "eval-classifier":

@@ -72,10 +72,11 @@ def decide(pairs: DataFrame, settings: LadderSettings = LadderSettings()) -> Dat
     """Add ``risk_tier``, ``decision``, ``reason`` and ``detector`` to scored pairs.
 
     Reads query_prompt, cached_prompt (null: no candidate), domain, classifier_score and cross_encoder_score (null:
-    that scorer did not run). Order: no candidate, opposite action, classifier gate, bypass, cross-encoder gate,
+    that scorer did not run), and ``candidate_known`` where there is one: an index knew a candidate that the store does not
+    have any more. Without a candidate the tier is low. Order: no candidate, opposite action, classifier gate, bypass, cross-encoder gate,
     entity change. All of it are JVM expressions, without a shuffle.
     """
-    tier = risk_tier(F.col("domain"), settings)
+    tier = F.when(F.col("cached_prompt").isNull(), F.lit("low")).otherwise(risk_tier(F.col("domain"), settings))
     mlp_gate, cross_gate = thresholds(F.col("domain"), F.col("risk_tier"), settings)
     mlp, cross = F.col("classifier_score"), F.col("cross_encoder_score")
     changed = F.col("_change").isNotNull()
@@ -83,8 +84,10 @@ def decide(pairs: DataFrame, settings: LadderSettings = LadderSettings()) -> Dat
     bypassed = mlp >= settings.bypass if settings.bypass is not None else F.lit(False)
     entity = F.concat(F.lit("entity_change_detected:"), F.col("_change.detector"))
     on_bypass = F.when(bypassed & changed, entity).when(bypassed, F.lit("mlp_bypass")) if settings.check_entities_on_bypass else F.when(bypassed, F.lit("mlp_bypass"))
+    none = F.col("cached_prompt").isNull()
+    known = F.col("candidate_known") if "candidate_known" in pairs.columns else F.lit(False)
     reason = F.coalesce(
-        F.when(F.col("cached_prompt").isNull(), F.lit("no_candidates_found")),
+        F.when(none & known, F.lit("no_candidate_entries_in_store")).when(none, F.lit("no_candidates_found")),
         F.when(veto, F.lit("opposite_action_detected")),
         F.when(mlp.isNull() | (mlp < mlp_gate), F.lit("failed_mlp_threshold")),
         on_bypass,

@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from promptloom.functions import vectors as V
 
-#: Queries whose vectors are broadcast together; with their dimension this bounds every broadcast.
-QUERY_BLOCK = 4096
+#: Queries one task holds, entries that pass by them in one task, and queries compared in one step.
+QUERY_BLOCK, ENTRY_BLOCK, STEP = 8192, 65_536, 512
 
 
 def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,49 +31,74 @@ def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[good], rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _best_in_partition(block, dim: int, k: int):
-    """Running top-k of every query over the entries of a partition; one matrix product per batch."""
+def _best_in_cell(dim: int, k: int, query_type: pa.DataType, entry_type: pa.DataType):
+    """Rows sorted by cell and kind: the queries of a cell of the grid are gathered, then its entries pass by; k stay per query."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = block.value
-        best: list[list[tuple[float, object]]] = [[] for _ in ids]
+        here, names, parts, best = -1, [], [], []
+        matrix = np.empty((0, dim))
+
+        def found() -> pa.RecordBatch:
+            rows = [(q, e, -s) for q, near in zip(names, best) for s, e in near]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], query_type), pa.array([r[1] for r in rows], entry_type), pa.array([r[2] for r in rows], pa.float64())], ["query_id", "entry_id", "score"])
+
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            at, rows = _unit(batch.column(1), dim)
-            if not len(at):
-                continue
-            scores = np.round(matrix @ rows.T, 6)
-            keep = min(k, scores.shape[1])
-            floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-            for q in range(len(ids)):
-                near = np.flatnonzero(scores[q] >= floor[q])
-                best[q] = sorted(best[q] + [(-float(scores[q, j]), names[at[j]]) for j in near])[:k]
-        rows_out = [(ids[q], e, -s) for q in range(len(ids)) for s, e in best[q]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_out], pa.int64()), pa.array([r[1] for r in rows_out], pa.int64()), pa.array([r[2] for r in rows_out], pa.float64())], ["query_id", "entry_id", "score"])
+            cell, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            change = np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for low, high in zip(np.append(0, change).tolist(), np.append(change, len(cell)).tolist()):
+                if low == high:
+                    continue
+                if int(cell[low]) != here:
+                    yield found()
+                    here, names, parts, best = int(cell[low]), [], [], []
+                part = batch.slice(low, high - low)
+                at, rows = _unit(part.column(4), dim)
+                if kind[low] == 0:
+                    column = part.column(2).to_pylist()
+                    names += [column[i] for i in at]
+                    best += [[] for _ in at]
+                    parts.append(rows)
+                    matrix = np.concatenate(parts)
+                    continue
+                if not len(at) or not names:
+                    continue
+                ids = part.column(3).to_pylist()
+                keep = min(k, len(at))
+                for begin in range(0, len(names), STEP):
+                    scores = np.round(matrix[begin : begin + STEP] @ rows.T, 6)
+                    floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
+                    for q, (line, least) in enumerate(zip(scores, floor), begin):
+                        if len(best[q]) == k:
+                            least = max(least, -best[q][-1][0])
+                        near = np.flatnonzero(line >= least)
+                        if len(near):
+                            best[q] = sorted(best[q] + [(-float(line[j]), ids[at[j]]) for j in near])[:k]
+        yield found()
 
     return scan
 
 
-def exact_topk(entries: DataFrame, queries: DataFrame, *, dim: int, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+def exact_topk(entries: DataFrame, queries: DataFrame, *, dim: int, k: int = 5, query_block: int = QUERY_BLOCK, entry_block: int = ENTRY_BLOCK) -> DataFrame:
     """``(query_id, entry_id, score, rank)``: the k entries most similar to each query by cosine, exactly.
 
-    ``entries`` is ``(entry_id long, vec)``, ``queries`` ``(query_id long, vec)``, the stated query set, which is taken in
-    blocks of at most ``block`` vectors: each block is broadcast and the entries pass by once, keeping k per
-    query and partition. Scores are rounded to six decimals, ties go to the smaller id. Vectors of another
-    length, null, all zero or not finite are left out on both sides. Empty sides give no rows.
+    ``entries`` is ``(entry_id, vec)``, ``queries`` ``(query_id, vec)``, with ids of any type that sorts. Both sides are
+    dealt by hash into blocks, and every pair of blocks is one cell of a grid: its task holds the queries of the block
+    while the entries pass by, and gives k of them per query. Nothing is broadcast or comes to the driver. Scores are
+    rounded to six decimals, ties go to the smaller id. Vectors of another length, null, all zero or not finite are left
+    out on both sides, as are null ids. Empty sides give no rows. The work is that of all pairs: for large sets of both use an index.
     """
-    spark = entries.sparkSession
-    numbered = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<float>").alias("vec")).where(V.usable(F.col("vec"), dim))
-    parts = max(1, -(-numbered.count() // block))
-    found = None
-    for number in range(parts):
-        chosen = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number)
-        table = chosen.toArrow()
-        _, matrix = _unit(table.column("vec").combine_chunks(), dim) if table.num_rows else (None, np.empty((0, dim)))
-        shared = spark.sparkContext.broadcast((table.column("query_id").to_pylist(), matrix))
-        rows = entries.select(F.col("entry_id").cast("long").alias("entry_id"), F.col("vec").cast("array<float>").alias("vec")).where("vec is not null")
-        part = rows.mapInArrow(_best_in_partition(shared, dim, k), "query_id long, entry_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    wide = T.ArrayType(T.FloatType())
+    stored = entries.select(F.col("entry_id"), F.col("vec").cast(wide).alias("vec")).where("entry_id is not null and vec is not null")
+    asked = queries.select(F.col("query_id"), F.col("vec").cast(wide).alias("vec")).where(F.col("query_id").isNotNull() & V.usable(F.col("vec"), dim))
+    query_type, entry_type = queries.schema["query_id"].dataType, entries.schema["entry_id"].dataType
+    across, down = max(1, -(-asked.count() // query_block)), max(1, -(-stored.count() // entry_block))
+    row = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = asked.select(row("query_id", across).alias("a"), "query_id", "vec").select("*", every(down).alias("d")).select((F.col("a") * down + F.col("d")).alias("cell"), F.lit(0).alias("kind"), "query_id", F.lit(None).cast(entry_type).alias("entry_id"), "vec")
+    right = stored.select(row("entry_id", down).alias("d"), "entry_id", "vec").select("*", every(across).alias("a")).select((F.col("a") * down + F.col("d")).alias("cell"), F.lit(1).alias("kind"), F.lit(None).cast(query_type).alias("query_id"), "entry_id", "vec")
+    grid = left.unionByName(right).repartitionById(across * down, F.col("cell")).sortWithinPartitions("cell", "kind")
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("entry_id", entry_type), T.StructField("score", T.DoubleType())])
+    found = grid.mapInArrow(_best_in_cell(dim, k, to_arrow_type(query_type), to_arrow_type(entry_type)), schema)
     order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from promptloom.functions.text import strip_space
 from promptloom.runtime import materialize, salted_join
+from promptloom.schemas import FEEDBACK_EVENTS, LOOKUP_RECORDS, conform
 
 # Name of the source of exported feedback pairs.
 FEEDBACK_SOURCE = "ledger-feedback"
@@ -40,11 +41,12 @@ def entry_counters(entries: DataFrame, lookups: DataFrame, feedback: DataFrame)
 
 
 def ledger_stats(entries: DataFrame, lookups: DataFrame, feedback: DataFrame) -> DataFrame:
-    """One row of totals: entries, stored hit counts, lookups and feedback events, each delivered row once."""
-    one = entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_hits"))
+    """One row of totals: entries, hits as stored and as the lookups tell, lookups and feedback events, each delivered row once."""
+    one = entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("stored_hits"))
+    hits = lookups.select("query_id", "cache_entry_id", "created_at").distinct().join(entries.select(F.col("id").alias("cache_entry_id")).distinct(), "cache_entry_id", "left_semi").agg(F.count("*").alias("total_hits"))
     two = lookups.select("query_id").distinct().agg(F.count("*").alias("lookups"))
     three = feedback.select("id", "label").distinct().agg(F.count("*").alias("feedback"), F.count_if(F.col("label") == 0).alias("bad"))
-    return one.join(two, F.lit(True)).join(three, F.lit(True))
+    return one.join(hits, F.lit(True)).join(two, F.lit(True)).join(three, F.lit(True))
 
 
 def outcome_stats(decided: DataFrame) -> DataFrame:
@@ -53,12 +55,13 @@ def outcome_stats(decided: DataFrame) -> DataFrame:
     return counted.select("lookups", "hits", (F.col("lookups") - F.col("hits")).alias("misses"), F.when(F.col("lookups") > 0, F.col("hits") / F.col("lookups")).otherwise(0.0).alias("hit_rate"))
 
 
-def reissued_lookups(lookups: DataFrame, *, window_seconds: float, order: str = "query_id") -> DataFrame:
+def reissued_lookups(lookups: DataFrame, *, window_seconds: float, order: str = "query_id", feedback: DataFrame | None = None) -> DataFrame:
     """``(query_id, previous_id, gap_seconds)``: lookups that repeat the same prompt of a domain within the window.
 
     The earlier one is the implicit bad hit; the window is inclusive. Prompts are compared without outer white
     space. Rows of one (domain, prompt) are cut into stretches of time before they are ordered, each with the last
-    row of the stretch before, so a prompt that holds much of the ledger is not sorted in one task.
+    row of the stretch before, so a prompt that holds much of the ledger is not sorted in one task. Hits with ``feedback``
+    are not flagged again: pairs whose earlier lookup has any are left out.
     """
     width = max(float(window_seconds), 1.0) * 64
     base = lookups.select("query_id", "domain", strip_space(F.col("query_prompt")).alias("prompt"), "created_at").distinct()
@@ -68,7 +71,8 @@ def reissued_lookups(lookups: DataFrame, *, window_seconds: float, order: str =
     both = cut.unionByName(over)
     by = W.Window.partitionBy("domain", "prompt", "stretch").orderBy("created_at", order)
     seen = both.withColumn("previous_id", F.lag("query_id").over(by)).withColumn("gap_seconds", F.round(F.col("at") - F.lag("at").over(by), 6))
-    return seen.where(F.col("own") & (F.col("gap_seconds") <= window_seconds)).select("query_id", "previous_id", "gap_seconds")
+    found = seen.where(F.col("own") & (F.col("gap_seconds") <= window_seconds)).select("query_id", "previous_id", "gap_seconds")
+    return found if feedback is None else found.join(feedback.select(F.col("query_id").alias("previous_id")).distinct(), "previous_id", "left_anti").select("query_id", "previous_id", "gap_seconds")
 
 
 def unflagged_hits(lookups: DataFrame, feedback: DataFrame, *, as_of: datetime, window_seconds: float) -> DataFrame:
@@ -79,23 +83,39 @@ def unflagged_hits(lookups: DataFrame, feedback: DataFrame, *, as_of: datetime,
     return open_ones.groupBy("domain", prompt).agg(F.max_by("query_id", F.struct("created_at", "query_id")).alias("query_id"))
 
 
+#: Lineage of exported pairs, which becomes their metadata.
+FEEDBACK_LINEAGE = ["feedback_event_id", "query_id", "cache_entry_id", "reason", "similarity_score", "classifier_score", "cross_encoder_score", "feedback_created_at"]
+PAIR_LINEAGE = ["active_learning_id", "similarity_score", "classifier_score", "cross_encoder_score", "created_at"]
+
+
+def with_lineage(own: Column | None, names: list[str]) -> Column:
+    """JSON of the lineage columns, after the fields of ``own`` metadata, over which they have precedence."""
+    lineage = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    if own is None:
+        return lineage
+    inner = F.regexp_extract(F.coalesce(own, F.lit("")), r"(?s)^\s*\{\s*(.*?)\s*\}\s*$", 1)
+    return F.when(F.length(inner) > 0, F.concat(F.lit("{"), inner, F.lit(","), F.substr(lineage, F.lit(2)))).otherwise(lineage)
+
+
 def feedback_pairs(feedback: DataFrame, lookups: DataFrame, entries: DataFrame, *, split: str = "train") -> DataFrame:
-    """Labelled pairs from feedback: prompt of the lookup, prompt of the entry, label and lineage as JSON.
+    """Labelled pairs from feedback with their lineage: prompt of the lookup, prompt of the event's entry, label, ``metadata``.
 
     Each feedback event counts once however often it was delivered; events without lookup or entry are left out.
+    ``metadata`` is JSON of the event's own metadata and the lineage, whose fields are also columns.
     """
-    events = feedback.select(F.col("id").alias("feedback_id"), "query_id", "label", "reason", F.col("created_at").alias("feedback_at")).distinct()
-    calls = latest_by_key(lookups.select("query_id", "domain", "query_prompt", "cache_entry_id", "similarity_score", "created_at"), "query_id", ["created_at", "cache_entry_id"])
+    feedback, lookups = conform(feedback, FEEDBACK_EVENTS), conform(lookups, LOOKUP_RECORDS)
+    events = feedback.select(F.col("id").alias("feedback_event_id"), "query_id", "cache_entry_id", "label", "reason", F.col("created_at").alias("feedback_created_at"), F.col("metadata_json").alias("_own")).distinct()
+    scores = ["similarity_score", "classifier_score", "cross_encoder_score"]
+    calls = latest_by_key(lookups.select("query_id", "domain", "query_prompt", *scores, "created_at"), "query_id", ["created_at", "query_prompt"]).drop("created_at")
     called = events.join(calls, "query_id")
     joined = salted_join(called, entries.select(F.col("id").alias("cache_entry_id"), F.col("prompt").alias("prompt_b")), ["cache_entry_id"])
-    lineage = F.to_json(F.struct("cache_entry_id", "feedback_id", "query_id", "reason"), {"ignoreNullFields": "false"})
-    return joined.select(F.col("query_prompt").alias("prompt_a"), "prompt_b", "label", "domain", F.lit(FEEDBACK_SOURCE).alias("source"), F.lit(split).alias("split"), lineage.alias("metadata"), "feedback_id", "feedback_at")
+    return joined.select(F.col("query_prompt").alias("prompt_a"), "prompt_b", "label", "domain", F.lit(FEEDBACK_SOURCE).alias("source"), F.lit(split).alias("split"), with_lineage(F.col("_own"), FEEDBACK_LINEAGE).alias("metadata"), *FEEDBACK_LINEAGE)
 
 
 def active_learning_pairs(pairs: DataFrame, *, split: str = "train") -> DataFrame:
-    """Stored active-learning pairs in the form of labelled pairs, each delivered row once."""
-    distinct = pairs.select("id", "query_prompt", "cached_prompt", "label", "domain", "source", "created_at").distinct()
-    return distinct.select(F.col("query_prompt").alias("prompt_a"), F.col("cached_prompt").alias("prompt_b"), "label", "domain", "source", F.lit(split).alias("split"), "id", "created_at")
+    """Stored active-learning pairs in the form of labelled pairs with their lineage, each delivered row once."""
+    distinct = pairs.withColumnRenamed("id", "active_learning_id").select("query_prompt", "cached_prompt", "label", "domain", "source", *PAIR_LINEAGE).distinct()
+    return distinct.select(F.col("query_prompt").alias("prompt_a"), F.col("cached_prompt").alias("prompt_b"), "label", "domain", "source", F.lit(split).alias("split"), with_lineage(None, PAIR_LINEAGE).alias("metadata"), *PAIR_LINEAGE)
 
 
 def accepted_feedback(reports: DataFrame, lookups: DataFrame) -> DataFrame:
@@ -108,33 +128,54 @@ def expired(entries: DataFrame, *, as_of: datetime, ttl_seconds: float) -> DataF
     return entries.where(F.col("created_at") < F.lit(as_of) - F.make_dt_interval(secs=F.lit(ttl_seconds))).select("id")
 
 
-def first_in_order(rows: DataFrame, n: int, coarse: list[Column], fine: list[Column]) -> DataFrame:
-    """The first ``n`` rows in order of ``coarse`` then ``fine``, exactly and without sorting all rows in one task.
+def first_in_order(rows: DataFrame, n: int, order: list[str], *, slices: int = 4096, few: int = 100_000) -> DataFrame:
+    """The first ``n`` rows in order of the columns ``order``, exactly and without sorting all rows in one task.
 
-    ``coarse`` expressions have few values; their histogram tells which values lie wholly before the cut, and
-    only the rows of the one value that is cut are ranked.
+    Whole numbers, times and the first bytes of texts are cut into equal slices between their bounds, and again inside the
+    slice in which the cut falls, column by column, until few rows are left there or the columns end. What is left is taken in order by partial heaps of
+    at most the rows that are still wanted. Only counts per slice come to the driver.
     """
-    names = [f"_c{i}" for i in range(len(coarse))]
-    keyed = rows.select("*", *[c.alias(name) for c, name in zip(coarse, names)])
     if n <= 0:
         return rows.limit(0)
-    counts = keyed.groupBy(*names).agg(F.count("*").alias("_n"))
-    running = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.Window.orderBy(*names).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    needed = materialize(running.where(F.col("_before") < n))
-    conditions = [keyed[name].eqNullSafe(needed[name]) for name in names]
-    joined = keyed.join(needed, conditions).select(keyed["*"], needed["_n"], needed["_before"])
-    whole = joined.where(F.col("_before") + F.col("_n") <= n)
-    cut = joined.where(F.col("_before") + F.col("_n") > n).withColumn("_r", F.row_number().over(W.Window.orderBy(*fine))).where(F.col("_before") + F.col("_r") <= n)
-    return whole.select(*rows.columns).unionByName(cut.select(*rows.columns))
+    cut, taken = rows, []
+    left = n
+    for name in order:
+        kind = rows.schema[name].dataType.typeName()
+        at = F.unix_micros(name) if kind == "timestamp" else F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(name), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("long") if kind == "string" else F.col(name).cast("long")
+        while True:
+            low, high, total = cut.agg(F.min(at), F.max(at), F.count("*")).first()
+            if total <= few or low is None or low == high:
+                break
+            step = max(1, -(-(high - low + 1) // slices))
+            sliced = F.floor((at - low) / step)
+            running = 0
+            for r in sorted(cut.groupBy(sliced.alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.s):
+                if running + r.n > left:
+                    break
+                running += r.n
+            else:
+                return _together([*taken, cut])
+            taken.append(cut.where(sliced < r.s))
+            cut, left = cut.where(sliced == r.s), left - running
+            if left == 0:
+                return _together(taken)
+        if total <= few:
+            break
+    return _together([*taken, cut.orderBy(*order).limit(left)])
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def lru_victims(entries: DataFrame, counters: DataFrame, *, max_entries: int) -> DataFrame:
     """Ids to evict so that ``max_entries`` stay: most negative feedback first, then longest unused, then oldest."""
     used = entries.select("id", "created_at").join(counters.select("id", "negative", "last_hit_at"), "id", "left")
-    ranked = used.select("id", F.coalesce("negative", F.lit(0)).alias("negative"), F.coalesce("last_hit_at", "created_at").alias("used_at"), "created_at")
-    surplus = ranked.count() - max_entries
-    minute = F.date_trunc("minute", "used_at")
-    return first_in_order(ranked, surplus, [-F.col("negative"), minute], [F.col("used_at"), F.col("created_at"), F.col("id")]).select("id")
+    ranked = materialize(used.select("id", (-F.coalesce("negative", F.lit(0))).cast("long").alias("liked"), F.coalesce("last_hit_at", "created_at").alias("used_at"), "created_at"))
+    return first_in_order(ranked, ranked.count() - max_entries, ["liked", "used_at", "created_at", "id"]).select("id")
 
 
 def hybrid_victims(entries: DataFrame, counters: DataFrame, *, as_of: datetime, ttl_seconds: float, max_entries: int) -> DataFrame:

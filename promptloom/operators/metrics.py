@@ -41,14 +41,19 @@ def binary_metrics(scored: DataFrame, group: list[str], *, threshold: float, emp
     return counts.select(*group, "examples", F.lit(threshold).alias("threshold"), "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(n) for n, c in rates.items()])
 
 
-def roc_auc(scored: DataFrame, group: list[str], *, places: int = 6) -> DataFrame:
-    """``(positives, negatives, auc)`` per group by average ranks; null where one class is missing.
+def roc_auc(scored: DataFrame, group: list[str], *, slices: int = 1024) -> DataFrame:
+    """``(positives, negatives, auc)`` per group by average ranks of the exact scores; null where one class is missing.
 
-    Scores are rounded to ``places`` and counted per value; ranks come from running sums of these counts.
+    Scores are counted per value. Running sums go over slices of the scores first and inside each slice then, so a
+    large group is never ordered in one task.
     """
-    values = _usable(scored).withColumn("score", F.round("score", places)).groupBy(*group, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    below = W.Window.partitionBy(*group).orderBy("score").rowsBetween(W.Window.unboundedPreceding, -1)
-    wins = values.withColumn("won", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2.0))
+    values = _usable(scored).groupBy(*group, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    sliced = values.withColumn("_s", F.floor(F.col("score") * slices))
+    earlier = lambda keys, order: W.Window.partitionBy(*keys).orderBy(order).rowsBetween(W.Window.unboundedPreceding, -1)
+    per = sliced.groupBy(*group, "_s").agg(F.sum("n").alias("_n"))
+    before = per.select(*group, "_s", F.coalesce(F.sum("_n").over(earlier(group, "_s")), F.lit(0)).alias("_before"))
+    inside = sliced.withColumn("_below", F.coalesce(F.sum("n").over(earlier([*group, "_s"], "score")), F.lit(0)))
+    wins = _join_null_safe(inside, before, [*group, "_s"]).withColumn("won", F.col("p") * (F.col("_before") + F.col("_below") + F.col("n") / 2.0))
     total = wins.groupBy(*group).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("won").alias("won"))
     pairs = F.col("positives") * F.col("negatives")
     return total.select(*group, "positives", "negatives", F.round(F.when(pairs > 0, F.col("won") / pairs), 6).alias("auc"))
@@ -162,6 +167,35 @@ def stage_report(decided: DataFrame, group: list[str]) -> DataFrame:
     return counts.withColumn("bypass_rate", F.round(ratio(F.col("bypassed"), F.col("hits"), 0.0), 6))
 
 
+#: The ways of deciding that are compared: cosine alone, classifier, both scorers, and the whole ladder (an own decision).
+METHODS = ("cosine", "classifier", "double", "full")
+
+
+def method_decisions(decided: DataFrame, *, cosine: float = 0.90, classifier: float = 0.85, double: tuple[float, float] = (0.95, 0.90)) -> DataFrame:
+    """Each decided row once per method, with ``method`` and ``hit``; a missing score never reaches a threshold."""
+    reaches = lambda name, t: F.coalesce(F.col(name) >= t, F.lit(False))
+    hits = {"cosine": reaches("similarity_score", cosine), "classifier": reaches("classifier_score", classifier), "double": reaches("classifier_score", double[0]) & reaches("cross_encoder_score", double[1]), "full": F.col("decision") == "hit"}
+    sides = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), hits[m].alias("hit")) for m in METHODS]))
+    return decided.withColumn("_m", sides).select(*decided.columns, "_m.method", "_m.hit")
+
+
+def comparison_matrix(decided: DataFrame, group: list[str], **thresholds) -> DataFrame:
+    """Confusion counts and rates of every method per group, on labelled rows; precision without hits is 1."""
+    one, hit = F.col("label") == 1, F.col("hit")
+    rows = method_decisions(decided.where("label in (0, 1)"), **thresholds)
+    counts = rows.groupBy(*group, "method").agg(F.count("*").alias("examples"), F.count_if(hit & one).alias("tp"), F.count_if(hit & ~one).alias("fp"), F.count_if(~hit & ~one).alias("tn"), F.count_if(~hit & one).alias("fn"))
+    rates = _rates(*[F.col(c) for c in ("tp", "fp", "tn", "fn")], empty_precision=1.0)
+    return counts.select(*group, "method", "examples", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(n) for n, c in rates.items()])
+
+
+def scenario_summary(scored: DataFrame, group: list[str], *, thresholds: list[float]) -> DataFrame:
+    """The cosine baseline as scenarios: per group and threshold the hits, wrong hits, missed reuse and the share of right decisions."""
+    steps = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    rows = scored.where("label in (0, 1)").withColumn("threshold", steps)
+    hit, one = F.coalesce(F.col("similarity_score") >= F.col("threshold"), F.lit(False)), F.col("label") == 1
+    return rows.groupBy(*group, "threshold").agg(F.count("*").alias("cases"), F.count_if(hit).alias("hits"), F.count_if(hit & ~one).alias("wrong_hits"), F.count_if(~hit & one).alias("missed_reuse"), F.round(F.avg(F.when(hit == one, 1.0).otherwise(0.0)), 6).alias("right_share"))
+
+
 def expectation_report(decided: DataFrame, group: list[str]) -> DataFrame:
     """Drift report of decisions with an ``expected`` one: safety, reuse and both kinds of errors, in per cent."""
     expected_hit, hit = F.col("expected") == "hit", F.col("decision") == "hit"

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
-import shutil
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -50,18 +48,25 @@ class PairModel:
         """One row per layer as Parquet, and a JSON card beside it."""
         rows = [(i, w.shape[0], w.shape[1], [float(x) for x in w.ravel()], [float(x) for x in c]) for i, (w, c) in enumerate(self.layers)]
         spark.createDataFrame(rows, "layer int, inputs int, outputs int, weights array<double>, bias array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layers")
-        with open(os.path.join(folder, "card.json"), "w", encoding="utf-8") as file:
-            json.dump({"threshold": self.threshold, "dim": self.dim, **self.card}, file, sort_keys=True)
+        write_text(spark, f"{folder}/card.json", json.dumps({"threshold": self.threshold, "dim": self.dim, **self.card}, sort_keys=True))
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, threshold: float | None = None) -> PairModel:
         rows = spark.read.parquet(f"{folder}/layers").orderBy("layer").collect()
-        with open(os.path.join(folder, "card.json"), encoding="utf-8") as file:
-            card = json.load(file)
+        card = json.loads(read_text(spark, f"{folder}/card.json"))
         layers = [(np.array(r.weights).reshape(r.inputs, r.outputs), np.array(r.bias)) for r in rows]
         return cls(layers, card.pop("threshold") if threshold is None else threshold, card.pop("dim"), card)
 
 
+def write_text(spark: SparkSession, folder: str, text: str) -> None:
+    """A short text where Spark writes, so that it lies beside the tables on any file system."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def read_text(spark: SparkSession, folder: str) -> str:
+    return spark.read.text(folder, wholetext=True).first().value.rstrip("\n")
+
+
 def embedded(pairs: DataFrame, embed, a: str = "prompt_a", b: str = "prompt_b") -> DataFrame:
     """Pairs with ``vec_a`` and ``vec_b``; ``embed`` maps a text column to a vector column."""
     return pairs.withColumns({"vec_a": embed(F.col(a)), "vec_b": embed(F.col(b))})
@@ -159,14 +164,9 @@ def retrain(train_pairs: DataFrame, held_out: DataFrame, *, dim: int, folder: st
     row = evaluate(model, held_out).first()
     measured = row.asDict() if row else {"precision": 0.0, "recall": 0.0}
     passed = measured["precision"] >= settings.least_precision and measured["recall"] >= settings.least_recall
-    candidate = os.path.join(folder, "candidate")
-    os.makedirs(candidate, exist_ok=True)
-    model.save(spark, candidate)
+    model.save(spark, f"{folder}/candidate")
     if passed:
-        current = os.path.join(folder, "current")
-        shutil.rmtree(current, ignore_errors=True)
-        shutil.copytree(candidate, current)
+        model.save(spark, f"{folder}/current")
     report = {"promoted": bool(passed), "metrics": {k: v for k, v in measured.items() if v is None or isinstance(v, (int, float))}, "training": model.card}
-    with open(os.path.join(folder, "report.json"), "w", encoding="utf-8") as file:
-        json.dump(report, file, sort_keys=True)
+    write_text(spark, f"{folder}/report.json", json.dumps(report, sort_keys=True))
     return report

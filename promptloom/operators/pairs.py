@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from promptloom.operators.ledger import first_in_order
+from promptloom.runtime import materialize
+
 
 def checked_pairs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid pairs and rejects: prompts must not be blank, labels are 0 or 1, a missing split is ``train``."""
@@ -40,21 +43,30 @@ def template_pairs(renders: DataFrame, *, cap: int = 10) -> DataFrame:
     return a.join(b, "template").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= cap).select("template", "prompt_a", "prompt_b", F.lit(0).alias("label"))
 
 
-def unrelated_pairs(texts: DataFrame, *, buckets: int = 64, shifts: int = 2) -> DataFrame:
-    """Easy negatives ``(prompt_a, prompt_b)`` of different concepts: each text with a few that follow in hash order.
+def unrelated_pairs(texts: DataFrame, *, ratio: float | None = None, positives: int = 0, hard: int = 0, shifts: int = 2, rows_per_bucket: int = 10_000) -> DataFrame:
+    """Easy negatives ``(prompt_a, prompt_b)``: each text with the next few texts of other concepts in the order of their digests.
 
-    Texts are dealt into buckets by hash and meet their successors there, so nothing is multiplied out.
-    Equal texts and unordered repeats are dropped.
+    Texts are dealt into buckets by the first digits of the digest, as many as the rows call for, and meet their
+    successors there, so nothing is multiplied out; a run of one concept is passed over. Equal texts and unordered
+    repeats are dropped. With a ``ratio`` the first ``round(positives * ratio) - hard`` pairs by digest stay.
     """
-    key = F.xxhash64("text", "concept")
-    dealt = texts.select("concept", "text").distinct().withColumn("_k", key).withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(buckets)))
-    by = W.Window.partitionBy("_b").orderBy("_k", "text")
-    found = None
-    for shift in range(1, shifts + 1):
-        nxt = dealt.select("concept", "text", F.lead(F.struct("concept", "text"), shift).over(by).alias("other"))
-        part = nxt.where("other is not null and other.concept <> concept and other.text <> text").select(F.least("text", "other.text").alias("prompt_a"), F.greatest("text", "other.text").alias("prompt_b"))
-        found = part if found is None else found.unionByName(part)
-    return found.distinct().withColumn("label", F.lit(0))
+    digits = 1
+    keyed = texts.select("concept", "text").distinct().withColumn("_k", F.md5(F.concat_ws("\u0001", F.col("concept").cast("string"), "text")))
+    while keyed.count() > rows_per_bucket * 16**digits:
+        digits += 1
+    dealt = keyed.withColumn("_b", F.substring("_k", 1, digits))
+    order = W.Window.partitionBy("_b").orderBy("_k", "text")
+    changed = F.when(F.lag("concept").over(order).eqNullSafe(F.col("concept")), 0).otherwise(1)
+    runs = dealt.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(order.rowsBetween(W.Window.unboundedPreceding, 0)))
+    place = W.Window.partitionBy("_b", "_run").orderBy("_k", "text")
+    firsts = runs.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= shifts).select("_b", (F.col("_run") - 1).alias("_run"), "_p", F.col("text").alias("other"))
+    joined = runs.select("_b", "_run", "_k", "text").join(firsts, ["_b", "_run"]).where("text <> other")
+    low, high = F.least("text", "other").alias("prompt_a"), F.greatest("text", "other").alias("prompt_b")
+    found = joined.groupBy(low, high).agg(F.min("_k").alias("_k")).withColumn("label", F.lit(0))
+    if ratio is not None:
+        wanted = max(0, round(positives * ratio) - hard)
+        found = first_in_order(materialize(found), wanted, ["_k", "prompt_a", "prompt_b"])
+    return found.select("prompt_a", "prompt_b", "label")
 
 
 def both_orders(pairs: DataFrame) -> DataFrame:

@@ -62,12 +62,6 @@ def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, used to decide whether a side may be broadcast."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(plan.stats().sizeInBytes().toString())
-
-
 def shuffle_width(spark: SparkSession, floor: int = 4) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -89,7 +83,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], *, how: str
         raise ValueError("salted_join supports inner and left")
     spark = left.sparkSession
     total = left.count()
-    limit = max(100_000, total // share)
+    limit = max(1, total // share)
     if total <= limit:
         return left.join(right, keys, how)
     counts = left.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))

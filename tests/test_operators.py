@@ -26,7 +26,7 @@ def test_exact_topk_against_brute_force(spark):
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [1.0] * 7), (903, [float("nan")] * 8)]
     df = spark.createDataFrame(data, "id long, vec array<float>")
     queries = df.where("id % 20 = 0 or id > 800").select(F.col("id").alias("query_id"), "vec")
-    got = {(r.query_id, r.rank): r.entry_id for r in K.exact_topk(df.select(F.col("id").alias("entry_id"), "vec"), queries, dim=8, k=4, block=5).collect()}
+    got = {(r.query_id, r.rank): r.entry_id for r in K.exact_topk(df.select(F.col("id").alias("entry_id"), "vec"), queries, dim=8, k=4, query_block=5, entry_block=16).collect()}
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     expected = {}
     for q in range(0, 300, 20):
@@ -121,7 +121,7 @@ def test_unflagged_hits_are_the_newest_without_feedback(ledgers, rows):
 
 def test_feedback_pairs_need_lookup_and_entry(ledgers, rows):
     entries, lookups, feedback = ledgers
-    assert rows(L.feedback_pairs(feedback, lookups, entries), "feedback_id", "prompt_a", "prompt_b", "label") == [("f1", " hi ", "p1", 0), ("f2", "hi", "p2", 1)]
+    assert rows(L.feedback_pairs(feedback, lookups, entries), "feedback_event_id", "prompt_a", "prompt_b", "label") == [("f1", " hi ", "p1", 0), ("f2", "hi", "p2", 1)]
     assert L.accepted_feedback(feedback, lookups).select("id").distinct().count() == 2
 
 
@@ -141,7 +141,7 @@ def test_first_in_order_matches_a_sort(spark):
     data = [(i, (i * 7) % 5, (i * 13) % 101) for i in range(500)]
     df = spark.createDataFrame(data, "i int, c int, f int")
     for n in (0, 1, 99, 100, 101, 499, 500, 700):
-        got = sorted(r.i for r in L.first_in_order(df, n, [F.col("c")], [F.col("f"), F.col("i")]).collect())
+        got = sorted(r.i for r in L.first_in_order(df, n, ["c", "f", "i"], slices=4, few=9).collect())
         assert got == sorted(r[0] for r in sorted(data, key=lambda r: (r[1], r[2], r[0]))[:n])
 
 
@@ -189,7 +189,7 @@ def test_pairs_and_splits(spark, rows):
     renders = spark.createDataFrame([("t", s, i, f"{s}{i}") for s in "ab" for i in range(20)] + [("u", "a", 1, "only")], "template string, side string, position int, text string")
     assert P.template_pairs(renders, cap=10).count() == 10
     texts = spark.createDataFrame([(str(i % 4), f"t{i}") for i in range(40)], "concept string, text string")
-    assert all(r.prompt_a < r.prompt_b for r in P.unrelated_pairs(texts, buckets=2).collect())
+    assert all(r.prompt_a < r.prompt_b for r in P.unrelated_pairs(texts, rows_per_bucket=2).collect())
     assert rows(P.both_orders(good.select("prompt_a", "prompt_b", "label"))) == [("a", "b", 1), ("b", "a", 1)]
     split = P.stratified_split(spark.createDataFrame([("s", i) for i in range(10)] + [("t", 1), (None, 2)], "s string, k int"), "s", "k", share=0.85)
     assert rows(split.groupBy("s", "part").count()) == [("s", "train", 8), ("s", "validation", 2), ("t", "train", 1), (None, "train", 1)]
