@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Medication names that must not be swapped.
-DRUGS = """ibuprofen acetaminophen paracetamol aspirin naproxen amoxicillin penicillin metformin lisinopril atorvastatin simvastatin omeprazole prednisone warfarin clopidogrel sertraline fluoxetine alprazolam
-diazepam lorazepam insulin metoprolol amlodipine losartan gabapentin tramadol oxycodone morphine codeine hydroxychloroquine ivermectin remdesivir dexamethasone""".split()
+DRUGS = [
+    "ibuprofen", "acetaminophen", "paracetamol", "aspirin", "naproxen", "amoxicillin", "penicillin", "metformin", "lisinopril", "atorvastatin", "simvastatin", "omeprazole", "prednisone", "warfarin",
+    "clopidogrel", "sertraline", "fluoxetine", "alprazolam", "diazepam", "lorazepam", "insulin", "metoprolol", "amlodipine", "losartan", "gabapentin", "tramadol", "oxycodone", "morphine", "codeine",
+    "hydroxychloroquine", "ivermectin", "remdesivir", "dexamethasone",
+]
 # Words that refer to a time relative to now.
 TEMPORAL_WORDS = "today yesterday tomorrow now current currently recent recently latest last previous prior next upcoming this past historical annual monthly weekly daily".split()
 # Pairs of such words that mean the same.
@@ -21,8 +24,11 @@ HARMLESS_TEMPORAL = [("current", "recent"), ("recent", "latest"), ("current", "l
 PRIVILEGES = "administrator admin root superuser sudo system service privileged elevated owner manager guest anonymous".split()
 POSSESSIVES = ["my", "our", "your"]
 # Capitalised words that are no names.
-NOT_NAMES = """the an a in on at for of to and or but is are was were be i my this that it its by as do can how what give me us list provide q mr dr ms tell show get find describe explain summarize summarise
-analyze analyse compare calculate generate write create make help please need want looking""".split()
+NOT_NAMES = [
+    "the", "an", "a", "in", "on", "at", "for", "of", "to", "and", "or", "but", "is", "are", "was", "were", "be", "i", "my", "this", "that", "it", "its", "by", "as", "do", "can", "how", "what",
+    "give", "me", "us", "list", "provide", "q", "mr", "dr", "ms", "tell", "show", "get", "find", "describe", "explain", "summarize", "summarise", "analyze", "analyse", "compare", "calculate",
+    "generate", "write", "create", "make", "help", "please", "need", "want", "looking",
+]
 # Actions that exclude each other.
 OPPOSITES = [
     ("approve", "deny"), ("approve", "reject"), ("allow", "block"), ("allow", "deny"), ("increase", "decrease"), ("raise", "lower"), ("buy", "sell"), ("enable", "disable"), ("grant", "revoke"), ("grant", "restrict"),

@@ -19,11 +19,15 @@ def checked_pairs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, marked.where("problem is not null")
 
 
-def concept_pairs(variants: DataFrame) -> DataFrame:
+def concept_pairs(variants: DataFrame, *, most_variants: int = 1000) -> DataFrame:
     """Positive pairs of the variants ``(concept, position, text)`` of one concept, each unordered pair once.
 
-    A concept has a handful of variants by construction; this is not meant for open groups of rows.
+    A concept has a handful of variants by construction; one with more than ``most_variants`` is a ValueError, as all
+    pairs of an open group are no result that anyone can use.
     """
+    crowded = variants.groupBy("concept").agg(F.count("*").alias("n")).where(F.col("n") > most_variants).select("concept").first()
+    if crowded:
+        raise ValueError(f"concept {crowded.concept!r} has more than {most_variants} variants")
     a, b = variants.alias("a"), variants.alias("b")
     joined = a.join(b, (F.col("a.concept") == F.col("b.concept")) & (F.col("a.position") < F.col("b.position")))
     return joined.select(F.col("a.concept").alias("concept"), F.col("a.text").alias("prompt_a"), F.col("b.text").alias("prompt_b"), F.lit(1).alias("label"))

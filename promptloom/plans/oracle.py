@@ -3,11 +3,64 @@
 from __future__ import annotations
 
 from promptloom.functions import mutate as U
-from promptloom.functions import text as X
 from promptloom.functions import vectors as V
 
 ORACLE_SQL: dict[str, str] = {}
 
+# Fixed values of the definitions, stated here once more so that the SQL does not depend on the code it checks.
+DRUGS = [
+    "ibuprofen", "acetaminophen", "paracetamol", "aspirin", "naproxen", "amoxicillin", "penicillin", "metformin", "lisinopril", "atorvastatin", "simvastatin", "omeprazole", "prednisone", "warfarin",
+    "clopidogrel", "sertraline", "fluoxetine", "alprazolam", "diazepam", "lorazepam", "insulin", "metoprolol", "amlodipine", "losartan", "gabapentin", "tramadol", "oxycodone", "morphine", "codeine",
+    "hydroxychloroquine", "ivermectin", "remdesivir", "dexamethasone",
+]
+TEMPORAL_WORDS = [
+    "today", "yesterday", "tomorrow", "now", "current", "currently", "recent", "recently", "latest", "last", "previous", "prior", "next", "upcoming", "this", "past", "historical", "annual",
+    "monthly", "weekly", "daily",
+]
+HARMLESS_TEMPORAL = [
+    ("current", "recent"), ("recent", "latest"), ("current", "latest"), ("last", "recent"), ("last", "latest"), ("recent", "most"), ("current", "most"),
+]
+PRIVILEGES = [
+    "administrator", "admin", "root", "superuser", "sudo", "system", "service", "privileged", "elevated", "owner", "manager", "guest", "anonymous",
+]
+POSSESSIVES = [
+    "my", "our", "your",
+]
+NOT_NAMES = [
+    "the", "an", "a", "in", "on", "at", "for", "of", "to", "and", "or", "but", "is", "are", "was", "were", "be", "i", "my", "this", "that", "it", "its", "by", "as", "do", "can", "how", "what",
+    "give", "me", "us", "list", "provide", "q", "mr", "dr", "ms", "tell", "show", "get", "find", "describe", "explain", "summarize", "summarise", "analyze", "analyse", "compare", "calculate",
+    "generate", "write", "create", "make", "help", "please", "need", "want", "looking",
+]
+OPPOSITES = [
+    ("approve", "deny"), ("approve", "reject"), ("allow", "block"), ("allow", "deny"), ("increase", "decrease"), ("raise", "lower"), ("buy", "sell"), ("enable", "disable"), ("grant", "revoke"),
+    ("grant", "restrict"), ("release", "hold back"), ("release", "withhold"), ("whitelist", "blacklist"), ("encrypt", "decrypt"), ("open", "close"), ("start", "stop"), ("keep", "sell"),
+    ("keep", "liquidate"), ("deposit", "withdraw"), ("backup", "delete"), ("backup", "destroy"), ("public", "private"), ("external", "internal"), ("personal", "business"), ("personal", "external"),
+    ("cryptocurrency", "deposit"), ("crypto", "fiat"), ("legitimate", "fraudulent"), ("turn on", "turn off"), ("require", "allow"), ("require", "permit"), ("complex", "simple"), ("complex", "basic"),
+]
+NEGATABLE = [
+    "required", "safe", "valid", "active", "legitimate", "binding", "enforceable", "malignant", "benign",
+]
+NEGATIONS = [
+    "not", "no", "never", "don't", "cannot", "can't", "refuse",
+]
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov",
+    "dec",
+]
+DAYS = [
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "mon", "tue", "wed", "thu", "fri", "sat", "sun",
+]
+ORDINALS = [
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth",
+]
+DETECTORS = [
+    "quarter", "year", "ordinal", "drug", "numeric", "version", "month", "day", "temporal", "privilege", "proper_noun",
+]
+QUARTER = r"(?i)\b(?:Q[1-4]|quarter\s+[1-4]|[1-4](?:st|nd|rd|th)\s+quarter)\b"
+NUMBER = r"\b\d+(?:\.\d+)?[a-zA-Z]{0,5}"
+VERSION = r"(?i)\bv?\d+(?:\.\d+){1,3}\b"
+
+
 _SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
@@ -48,29 +101,29 @@ def _fold(items: str, how: str) -> str:
 
 
 _DATED = {
-    "ordinal": r"(?i)\b(?:" + "|".join(X.ORDINALS) + r"|[1-9][0-9]*(?:st|nd|rd|th))\b", "version": X.VERSION, "month": r"(?i)\b(?:" + "|".join(X.MONTHS) + r")\b", "day": r"(?i)\b(?:" + "|".join(X.DAYS) + r")\b",
+    "ordinal": r"(?i)\b(?:" + "|".join(ORDINALS) + r"|[1-9][0-9]*(?:st|nd|rd|th))\b", "version": VERSION, "month": r"(?i)\b(?:" + "|".join(MONTHS) + r")\b", "day": r"(?i)\b(?:" + "|".join(DAYS) + r")\b",
 }
 
 
 def _set_pair(detector: str, side: str) -> str:
     if detector == "quarter":
-        return _fold(_found(side, X.QUARTER), "upper")
+        return _fold(_found(side, QUARTER), "upper")
     if detector == "year":
         return _found(side, r"\b(?:19|20)\d{2}\b")
     if detector == "numeric":
-        return f"list_filter({_fold(_found(side, X.NUMBER), 'lower')}, lambda z: NOT regexp_matches(z, '^(?:19|20)\\d{{2}}$'))"
+        return f"list_filter({_fold(_found(side, NUMBER), 'lower')}, lambda z: NOT regexp_matches(z, '^(?:19|20)\\d{{2}}$'))"
     return _fold(_found(side, _DATED[detector]), "lower")
 
 
 def _sets(detector: str, a: str, b: str) -> tuple[str, str]:
     if detector == "drug":
-        return _intersect(_tokens(a), X.DRUGS), _intersect(_tokens(b), X.DRUGS)
+        return _intersect(_tokens(a), DRUGS), _intersect(_tokens(b), DRUGS)
     if detector == "temporal":
-        return _intersect(_tokens(a), X.TEMPORAL_WORDS), _intersect(_tokens(b), X.TEMPORAL_WORDS)
+        return _intersect(_tokens(a), TEMPORAL_WORDS), _intersect(_tokens(b), TEMPORAL_WORDS)
     if detector == "privilege":
-        return _intersect(_tokens(a), X.PRIVILEGES), _intersect(_tokens(b), X.PRIVILEGES)
+        return _intersect(_tokens(a), PRIVILEGES), _intersect(_tokens(b), PRIVILEGES)
     if detector == "proper_noun":
-        names = lambda c: f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Z][a-z]+|[A-Z]+'), lambda y: lower(y))), lambda z: length(z) > 2 AND NOT list_contains({_list(X.NOT_NAMES)}, z))"
+        names = lambda c: f"list_filter(list_distinct(list_transform(regexp_extract_all(coalesce({c}, ''), '[A-Z][a-z]+|[A-Z]+'), lambda y: lower(y))), lambda z: length(z) > 2 AND NOT list_contains({_list(NOT_NAMES)}, z))"
         return names(a), names(b)
     return _set_pair(detector, a), _set_pair(detector, b)
 
@@ -83,13 +136,13 @@ def _entity(detector: str, rows: str) -> str:
     if detector == "drug":
         return f"SELECT key, list_min(oa) AS token_a, list_min(ob) AS token_b FROM ({own}) WHERE {some}"
     if detector == "temporal":
-        harmless = _list([" ".join(sorted(p)) for p in X.HARMLESS_TEMPORAL])
+        harmless = _list([" ".join(sorted(p)) for p in HARMLESS_TEMPORAL])
         pair = "least(list_min(oa), list_min(ob)) || ' ' || greatest(list_min(oa), list_min(ob))"
         return f"SELECT key, list_min(oa) AS token_a, list_min(ob) AS token_b FROM ({own}) WHERE len(oa) > 0 AND len(ob) > 0 AND NOT list_contains({harmless}, {pair})"
     if detector == "proper_noun":
         return f"SELECT key, list_min(oa) AS token_a, list_min(ob) AS token_b FROM ({own}) WHERE len(oa) > 0 AND len(ob) > 0"
     if detector == "privilege":
-        mine = lambda c: f"len({_intersect(_tokens(c), X.POSSESSIVES)}) > 0"
+        mine = lambda c: f"len({_intersect(_tokens(c), POSSESSIVES)}) > 0"
         return (
             f"SELECT key, CASE WHEN {some} THEN list_min(oa) WHEN len(sa) > 0 THEN list_min(sa) ELSE 'user' END AS token_a, CASE WHEN {some} THEN list_min(ob) WHEN len(sa) > 0 THEN 'user' ELSE list_min(sb) END AS token_b "
             f"FROM ({own}) WHERE ({some}) OR (len(sa) > 0 AND len(sb) = 0 AND {mine('b')}) OR (len(sb) > 0 AND len(sa) = 0 AND {mine('a')})"
@@ -99,30 +152,40 @@ def _entity(detector: str, rows: str) -> str:
 
 def _first_entity(rows: str) -> str:
     """``(key, detector, token_a, token_b)`` of the first detector in order, for the keys where one fires."""
-    parts = " UNION ALL ".join(f"SELECT key, {i} AS ord, {_q(d)} AS detector, token_a, token_b FROM ({_entity(d, rows)})" for i, d in enumerate(X.DETECTORS))
+    parts = " UNION ALL ".join(f"SELECT key, {i} AS ord, {_q(d)} AS detector, token_a, token_b FROM ({_entity(d, rows)})" for i, d in enumerate(DETECTORS))
     return f"SELECT key, detector, token_a, token_b FROM ({parts}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1"
 
 
 def _opposite(a: str, b: str) -> str:
     la, lb = f"lower(coalesce({a}, ''))", f"lower(coalesce({b}, ''))"
     has = lambda t, w: f"contains({t}, {_q(w)})"
-    pairs = " OR ".join(f"((({has(la, x)} AND {has(lb, y)}) OR ({has(la, y)} AND {has(lb, x)})) AND NOT ({has(la, x)} AND {has(lb, x)}) AND NOT ({has(la, y)} AND {has(lb, y)}))" for x, y in X.OPPOSITES)
-    negated = lambda t: "(" + " OR ".join(has(t, n) for n in X.NEGATIONS) + ")"
-    shared = " OR ".join(f"({has(la, k)} AND {has(lb, k)})" for k in X.NEGATABLE)
+    pairs = " OR ".join(f"((({has(la, x)} AND {has(lb, y)}) OR ({has(la, y)} AND {has(lb, x)})) AND NOT ({has(la, x)} AND {has(lb, x)}) AND NOT ({has(la, y)} AND {has(lb, y)}))" for x, y in OPPOSITES)
+    negated = lambda t: "(" + " OR ".join(has(t, n) for n in NEGATIONS) + ")"
+    shared = " OR ".join(f"({has(la, k)} AND {has(lb, k)})" for k in NEGATABLE)
     da, db = _found(a, r"\b\d+\b"), _found(b, r"\b\d+\b")
     numbers = f"(len({da}) > 0 AND len({db}) > 0 AND list_sort({da}) <> list_sort({db}))"
     return f"({pairs} OR (({shared}) AND {negated(la)} <> {negated(lb)}) OR {numbers})"
 
 
 _GOLD_ROWS = "(SELECT pair_id AS key, prompt_a AS a, prompt_b AS b FROM equivalence_gold)"
-for _d in X.DETECTORS:
-    ORACLE_SQL[f"entity_{_d}"] = f"SELECT key AS pair_id, token_a, token_b FROM ({_entity(_d, _GOLD_ROWS)})"
+_RENDERED = {
+    "quarter": "'Summary for Q' || quarter(o_orderdate) AS a, 'Summary for quarter ' || (o_custkey % 4 + 1) AS b",
+    "year": "'Total for ' || year(o_orderdate) AS a, 'Total for ' || (year(o_orderdate) + o_custkey % 2) AS b",
+    "ordinal": "'Send the ' || (['first', 'second', 'third', '4th', '21st'])[o_orderkey % 5 + 1] || ' copy' AS a, 'Send the ' || (['first', 'second', 'third', '4th', '21st'])[o_custkey % 5 + 1] || ' copy' AS b",
+    "drug": "'Dose of ' || (['ibuprofen', 'Warfarin', 'insulin', 'metformin', 'water', 'tea'])[o_orderkey % 6 + 1] AS a, 'Dose of ' || (['ibuprofen', 'Warfarin', 'insulin', 'metformin', 'water', 'tea'])[o_custkey % 6 + 1] AS b",
+    "temporal": "'Show the ' || (['current', 'latest', 'previous', 'Next', 'recent', 'full'])[o_orderkey % 6 + 1] || ' report' AS a, 'Show the ' || (['current', 'latest', 'previous', 'Next', 'recent', 'full'])[o_custkey % 6 + 1] || ' report' AS b",
+    "privilege": "(['Reset my password', 'Reset the admin password', 'Reset the Guest password', 'Reset the door'])[o_orderkey % 4 + 1] AS a, (['Reset my password', 'Reset the admin password', 'Reset the Guest password', 'Reset the door'])[o_custkey % 4 + 1] AS b",
+}
+for _d in DETECTORS:
+    _gold = "SELECT 'g' || pair_id AS key, prompt_a AS a, prompt_b AS b FROM equivalence_gold"
+    _rows = f"({_gold} UNION ALL SELECT 'o' || o_orderkey AS key, {_RENDERED[_d]} FROM orders)" if _d in _RENDERED else f"({_gold})"
+    ORACLE_SQL[f"entity_{_d}"] = f"SELECT key AS pair_id, token_a, token_b FROM ({_entity(_d, _rows)})"
 ORACLE_SQL["entity_change"] = f"SELECT g.pair_id, detector, token_a, token_b FROM equivalence_gold g LEFT JOIN ({_first_entity(_GOLD_ROWS)}) e ON e.key = g.pair_id"
 ORACLE_SQL["opposite_action"] = f"SELECT pair_id, {_opposite('prompt_a', 'prompt_b')} AS opposite FROM equivalence_gold"
 
 _UNIT = "list_transform({v}::DOUBLE[], lambda x: x / sqrt(list_dot_product({v}::DOUBLE[], {v}::DOUBLE[])))"
 _SCORES = """SELECT q.vec_id AS query_id, e.vec_id AS entry_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0"""
+FROM embeddings q, embeddings e"""
 ORACLE_SQL["knn_topk"] = f"SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id))::INT AS rank FROM ({_SCORES}) QUALIFY rank <= 6"
 ORACLE_SQL["baseline_decision"] = f"""SELECT query_id, entry_id, score, CASE WHEN score >= 0.35 THEN 'hit' ELSE 'miss' END AS decision,
 CASE WHEN score >= 0.35 THEN 'passed_cosine_threshold' ELSE 'failed_cosine_threshold' END AS reason
@@ -202,7 +265,7 @@ n AS (SELECT *, sum(CASE WHEN length(x) > 4 THEN 1 ELSE 0 END) OVER (PARTITION B
 m AS (SELECT pair_id, string_agg(CASE WHEN length(x) > 4 AND c <= 2 THEN substring(x, 1, 2) || substring(x, 4, 1) || substring(x, 3, 1) || substring(x, 5) ELSE x END, ' ' ORDER BY i) AS s FROM n GROUP BY pair_id)
 SELECT t.pair_id, CASE WHEN coalesce(s, '') = prompt_a THEN prompt_a || {_q(U.SLIP_SUFFIX)} ELSE coalesce(s, '') END AS mutated FROM t LEFT JOIN m USING (pair_id)"""
 
-ORACLE_SQL["ledger_stats"] = """SELECT (SELECT count(*) FROM cache_entries) AS entries, (SELECT coalesce(sum(hit_count), 0)::BIGINT FROM cache_entries) AS total_hits, (SELECT count(DISTINCT query_id) FROM lookup_records) AS lookups,
+ORACLE_SQL["ledger_stats"] = """SELECT (SELECT count(*) FROM cache_entries) AS entries, (SELECT coalesce(sum(hit_count), 0)::BIGINT FROM cache_entries) AS stored_hits, (SELECT count(*) FROM (SELECT DISTINCT query_id, cache_entry_id, created_at FROM lookup_records) WHERE cache_entry_id IN (SELECT id FROM cache_entries)) AS total_hits, (SELECT count(DISTINCT query_id) FROM lookup_records) AS lookups,
 count(*) AS feedback, count_if(label = 0) AS bad FROM (SELECT DISTINCT id, label FROM feedback_events)"""
 _COUNTERS = """SELECT c.id, coalesce(h.n, 0) AS hit_count, h.t AS last_hit_at, coalesce(f.neg, 0) AS negative, coalesce(f.pos, 0) AS positive FROM cache_entries c
 LEFT JOIN (SELECT cache_entry_id, count(*) AS n, max(created_at) AS t FROM (SELECT DISTINCT query_id, cache_entry_id, created_at FROM lookup_records) GROUP BY 1) h ON h.cache_entry_id = c.id
@@ -212,17 +275,22 @@ ORACLE_SQL["counter_lag"] = f"SELECT c.id, c.hit_count AS stored_hits, k.hit_cou
 ORACLE_SQL["reissued_lookups"] = f"""WITH b AS (SELECT DISTINCT query_id, domain, {_strip('query_prompt')} AS prompt, created_at FROM lookup_records),
 g AS (SELECT query_id, lag(query_id) OVER w AS previous_id, round((epoch_us(created_at) - lag(epoch_us(created_at)) OVER w) / 1e6, 6) AS gap_seconds FROM b WINDOW w AS (PARTITION BY domain, prompt ORDER BY created_at, query_id))
 SELECT * FROM g WHERE gap_seconds <= 86400"""
+ORACLE_SQL["open_reissues"] = f"SELECT * FROM ({ORACLE_SQL['reissued_lookups']}) WHERE previous_id NOT IN (SELECT query_id FROM feedback_events WHERE query_id IS NOT NULL)"
+ORACLE_SQL["upsert_lookup"] = """SELECT query_id, cache_entry_id, query_prompt, similarity_score, created_at FROM (SELECT DISTINCT query_id, cache_entry_id, query_prompt, similarity_score, created_at FROM lookup_records)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, cache_entry_id DESC) = 1"""
+ORACLE_SQL["record_feedback"] = "SELECT DISTINCT id, query_id, label FROM feedback_events WHERE label IN (0, 1) AND query_id IN (SELECT query_id FROM lookup_records)"
 ORACLE_SQL["unflagged_hits"] = f"""SELECT domain, {_strip('query_prompt')} AS prompt, arg_max(query_id, struct_pack(a := created_at, b := query_id)) AS query_id FROM lookup_records
-WHERE created_at <= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND created_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' - INTERVAL 3650 DAY AND query_id NOT IN (SELECT query_id FROM feedback_events WHERE query_id IS NOT NULL) GROUP BY ALL"""
+WHERE created_at <= TIMESTAMPTZ '2026-01-01 00:00:00+00' AND created_at >= TIMESTAMPTZ '2026-01-01 00:00:00+00' - INTERVAL 30 DAY AND query_id NOT IN (SELECT query_id FROM feedback_events WHERE query_id IS NOT NULL) GROUP BY ALL"""
 ORACLE_SQL["latest_lookup"] = """SELECT cache_entry_id, query_id, created_at, similarity_score FROM (SELECT DISTINCT cache_entry_id, query_id, created_at, similarity_score FROM lookup_records)
 QUALIFY row_number() OVER (PARTITION BY cache_entry_id ORDER BY created_at DESC, query_id DESC) = 1"""
-_FEEDBACK = """SELECT f.id AS feedback_id, l.query_prompt AS prompt_a, c.prompt AS prompt_b, f.label, l.domain, 'ledger-feedback' AS source, 'train' AS split,
-'{"cache_entry_id":"' || l.cache_entry_id || '","feedback_id":"' || f.id || '","query_id":"' || f.query_id || '","reason":' || coalesce('"' || replace(f.reason, '"', '\\"') || '"', 'null') || '}' AS metadata
-FROM (SELECT DISTINCT id, query_id, label, reason, created_at FROM feedback_events) f
-JOIN (SELECT DISTINCT query_id, domain, query_prompt, cache_entry_id, similarity_score, created_at FROM lookup_records QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, cache_entry_id DESC) = 1) l ON l.query_id = f.query_id
-JOIN cache_entries c ON c.id = l.cache_entry_id"""
+_FEEDBACK = """SELECT l.query_prompt AS prompt_a, c.prompt AS prompt_b, f.label, l.domain, 'ledger-feedback' AS source, 'train' AS split, f.id AS feedback_event_id, f.query_id, f.cache_entry_id, f.reason,
+l.similarity_score, l.classifier_score, l.cross_encoder_score, f.created_at AS feedback_created_at, f.metadata_json ->> '$.via' AS via, f.id AS metadata_event
+FROM (SELECT DISTINCT id, query_id, cache_entry_id, label, reason, created_at, metadata_json FROM feedback_events) f
+JOIN (SELECT DISTINCT query_id, domain, query_prompt, similarity_score, classifier_score, cross_encoder_score, created_at FROM lookup_records QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, query_prompt DESC) = 1) l ON l.query_id = f.query_id
+JOIN cache_entries c ON c.id = f.cache_entry_id"""
 ORACLE_SQL["feedback_export"] = _FEEDBACK
-ORACLE_SQL["active_learning_export"] = "SELECT DISTINCT query_prompt AS prompt_a, cached_prompt AS prompt_b, label, domain, source, 'train' AS split, id, created_at FROM active_learning_pairs"
+ORACLE_SQL["active_learning_export"] = """SELECT DISTINCT query_prompt AS prompt_a, cached_prompt AS prompt_b, label, domain, source, 'train' AS split, id AS active_learning_id, similarity_score, classifier_score, cross_encoder_score, created_at, id AS metadata_id
+FROM active_learning_pairs"""
 _TTL = "SELECT id FROM cache_entries WHERE created_at < TIMESTAMPTZ '2026-01-01 00:00:00+00' - INTERVAL 240 DAY"
 ORACLE_SQL["evict_ttl"] = _TTL
 _LRU = "SELECT c.id FROM {rows} c JOIN (" + _COUNTERS + ") k ON k.id = c.id ORDER BY k.negative DESC, coalesce(k.last_hit_at, c.created_at), c.created_at, c.id LIMIT {n}"
@@ -250,8 +318,8 @@ def _confusion(score: str, threshold: str) -> str:
 
 _VALID = "label IN (0, 1) AND {s} IS NOT NULL AND NOT isnan({s})"
 ORACLE_SQL["binary_metrics"] = _rated(f"SELECT domain, count(*) AS examples, 0.95::DOUBLE AS threshold, {_confusion('classifier_score', '0.95')} FROM ({_SCORED}) WHERE {_VALID.format(s='classifier_score')} GROUP BY domain", "domain, examples, threshold")
-ORACLE_SQL["benchmark_metrics"] = _rated(f"SELECT domain, count(*) AS examples, 0.999::DOUBLE AS threshold, {_confusion('similarity_score', '0.999')} FROM ({_SCORED}) WHERE {_VALID.format(s='similarity_score')} GROUP BY domain", "domain, examples, threshold", "1.0")
-ORACLE_SQL["roc_auc"] = f"""WITH s AS (SELECT domain, label, round(classifier_score, 6) AS score FROM ({_SCORED}) WHERE {_VALID.format(s='classifier_score')}),
+ORACLE_SQL["benchmark_metrics"] = _rated(f"SELECT domain, count(*) AS examples, 0.9::DOUBLE AS threshold, {_confusion('similarity_score', '0.9')} FROM ({_SCORED}) WHERE {_VALID.format(s='similarity_score')} GROUP BY domain", "domain, examples, threshold", "1.0")
+ORACLE_SQL["roc_auc"] = f"""WITH s AS (SELECT domain, label, classifier_score AS score FROM ({_SCORED}) WHERE {_VALID.format(s='classifier_score')}),
 r AS (SELECT domain, label, rank() OVER (PARTITION BY domain ORDER BY score) + (count(*) OVER (PARTITION BY domain, score) - 1) / 2.0 AS rk FROM s), t AS (SELECT domain, count_if(label = 1) AS p, count_if(label = 0) AS n, sum(CASE WHEN label = 1 THEN rk ELSE 0 END) AS rs FROM r GROUP BY domain)
 SELECT domain, p AS positives, n AS negatives, round(CASE WHEN p * n > 0 THEN (rs - p * (p + 1) / 2.0) / (p * n) END, 6) AS auc FROM t"""
 ORACLE_SQL["calibration"] = f"""WITH s AS (SELECT domain, label, classifier_score AS score, CASE WHEN classifier_score BETWEEN 0 AND 1 THEN least(floor(classifier_score * 10), 9) END AS b FROM ({_SCORED}) WHERE {_VALID.format(s='classifier_score')}),
@@ -277,7 +345,6 @@ ORACLE_SQL["expectation_report"] = f"""{_RULED} SELECT source, must_miss, must_h
 ({_PCT.format(p='must_miss - blocked', w='must_miss')})::DOUBLE AS dangerous_pct, must_hit - reused AS missed_reuse, ({_PCT.format(p='must_hit - reused', w='must_hit')})::DOUBLE AS missed_pct FROM s"""
 _CHECK = r"CASE WHEN regexp_replace(coalesce(prompt_a, ''), '" + _SPACE + r"', '', 'g') = '' THEN 'blank prompt_a' WHEN regexp_replace(coalesce(prompt_b, ''), '" + _SPACE + r"', '', 'g') = '' THEN 'blank prompt_b' WHEN label IS NULL OR label NOT IN (0, 1) THEN 'label not 0 or 1' END"
 ORACLE_SQL["checked_pairs"] = f"SELECT CASE WHEN problem IS NULL THEN coalesce(split, 'train') ELSE split END AS split, problem, count(*) AS rows FROM (SELECT split, {_CHECK} AS problem FROM equivalence_gold) GROUP BY ALL"
-ORACLE_SQL["concept_pairs"] = "SELECT a.n_regionkey AS concept, a.n_name AS prompt_a, b.n_name AS prompt_b, 1 AS label FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"
 ORACLE_SQL["hard_negatives"] = """WITH a AS (SELECT c_nationkey AS template, c_name AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, c_name) AS i FROM customer), b AS (SELECT s_nationkey AS template, s_name AS y, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS j FROM supplier)
 SELECT a.template, x AS prompt_a, y AS prompt_b, 0 AS label FROM a JOIN b ON a.template = b.template WHERE i <= 10 AND j <= 10 QUALIFY row_number() OVER (PARTITION BY a.template ORDER BY i + j, i) <= 10"""
 ORACLE_SQL["both_orders"] = "SELECT prompt_a, prompt_b, pair_id, label FROM equivalence_gold UNION ALL SELECT prompt_b AS prompt_a, prompt_a AS prompt_b, pair_id, label FROM equivalence_gold"
@@ -299,3 +366,28 @@ _MUTATED = " UNION ALL ".join(f"SELECT {_q(n)} AS mutation, pair_id, mutated FRO
 ORACLE_SQL["mutation_report"] = f"""WITH m AS ({_MUTATED}), keyed AS (SELECT mutation || ':' || m.pair_id AS key, mutation, mutated AS a, g.prompt_a AS b FROM m JOIN equivalence_gold g ON g.pair_id = m.pair_id),
 changed AS ({_first_entity('keyed')}), d AS (SELECT mutation, k.b IS NULL OR {_opposite('k.a', 'k.b')} OR c.detector IS NOT NULL AS missed FROM keyed k LEFT JOIN changed c ON c.key = k.key)
 SELECT mutation, count_if(NOT missed) AS hits, count_if(missed) AS misses FROM d GROUP BY mutation"""
+
+ORACLE_SQL["comparison_matrix"] = _DECIDED + f""", lab AS (SELECT DISTINCT id, query_id, label FROM feedback_events WHERE label IN (0, 1)),
+m AS (SELECT f.domain, l.label, f.decision, z.s, z.c, z.x FROM final f JOIN lab l ON l.query_id = f.query_id JOIN (SELECT DISTINCT query_id, similarity_score AS s, classifier_score AS c, cross_encoder_score AS x FROM lookup_records) z ON z.query_id = f.query_id),
+h AS (SELECT domain, label, 'cosine' AS method, coalesce(s >= 0.9, false) AS hit FROM m UNION ALL SELECT domain, label, 'classifier', coalesce(c >= 0.85, false) FROM m UNION ALL SELECT domain, label, 'double', coalesce(c >= 0.95 AND x >= 0.9, false) FROM m UNION ALL SELECT domain, label, 'full', decision = 'hit' FROM m),
+k AS (SELECT domain, method, count(*) AS examples, count_if(hit AND label = 1) AS tp, count_if(hit AND label = 0) AS fp, count_if(NOT hit AND label = 0) AS tn, count_if(NOT hit AND label = 1) AS fn FROM h GROUP BY ALL)
+{_rated('SELECT * FROM k', 'domain, method, examples', '1.0')}"""
+ORACLE_SQL["baseline_scenarios"] = f"""WITH r AS (SELECT domain, label, t AS threshold, coalesce(similarity_score >= t, false) AS hit FROM ({_SCORED}), (SELECT unnest([0.7, 0.8, 0.9, 0.95, 0.98])::DOUBLE AS t) WHERE label IN (0, 1))
+SELECT domain, threshold, count(*) AS cases, count_if(hit) AS hits, count_if(hit AND label = 0) AS wrong_hits, count_if(NOT hit AND label = 1) AS missed_reuse, round(avg(CASE WHEN hit = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS right_share FROM r GROUP BY ALL"""
+ORACLE_SQL["method_drift"] = _DECIDED + f""", lab AS (SELECT DISTINCT id, query_id, label FROM feedback_events WHERE label IN (0, 1)), m AS (SELECT l.label, f.decision, z.s, z.c, z.x FROM final f JOIN lab l ON l.query_id = f.query_id JOIN (SELECT DISTINCT query_id, similarity_score AS s, classifier_score AS c, cross_encoder_score AS x FROM lookup_records) z ON z.query_id = f.query_id),
+h AS (SELECT label, 'cosine' AS method, coalesce(s >= 0.9, false) AS hit FROM m UNION ALL SELECT label, 'classifier', coalesce(c >= 0.85, false) FROM m UNION ALL SELECT label, 'double', coalesce(c >= 0.95 AND x >= 0.9, false) FROM m UNION ALL SELECT label, 'full', decision = 'hit' FROM m),
+s AS (SELECT method, count_if(label = 0) AS must_miss, count_if(label = 1) AS must_hit, count_if(label = 0 AND NOT hit) AS blocked, count_if(label = 1 AND hit) AS reused FROM h GROUP BY method)
+SELECT method, must_miss, must_hit, ({_PCT.format(p='blocked', w='must_miss')})::DOUBLE AS safety_pct, ({_PCT.format(p='reused', w='must_hit')})::DOUBLE AS reuse_pct, must_miss - blocked AS dangerous_hits,
+({_PCT.format(p='must_miss - blocked', w='must_miss')})::DOUBLE AS dangerous_pct, must_hit - reused AS missed_reuse, ({_PCT.format(p='must_hit - reused', w='must_hit')})::DOUBLE AS missed_pct FROM s"""
+_SIX = f"SELECT domain, threshold, {_confusion('round(classifier_score, 8)', 'threshold')} FROM ({_SCORED}), (SELECT round(0.7 + i * 0.05, 6) AS threshold FROM range(6) t(i)) WHERE {_VALID.format(s='classifier_score')} GROUP BY domain, threshold"
+ORACLE_SQL["six_point_sweep"] = _rated(_SIX, "domain, threshold")
+ORACLE_SQL["reply_lines"] = r"""WITH l AS (SELECT id, unnest(regexp_split_to_array(regexp_replace(response, '(?s)<think>.*?</think>', '', 'g'), '\r?\n')) AS x FROM cache_entries WHERE response IS NOT NULL),
+c AS (SELECT id, regexp_replace(regexp_replace(trim(x), '^(?:[-*•]|\d+[.)])\s*', ''), '^["''“”]+|["''“”]+$', '', 'g') AS line FROM l) SELECT id, count(*) AS lines, sum(length(line))::BIGINT AS characters FROM c WHERE length(trim(line)) > 0 GROUP BY id"""
+ORACLE_SQL["rendered_actions"] = "SELECT p_partkey, lower(p_type) || ' ' || p_name || '.' AS prompt FROM part"
+ORACLE_SQL["pairs_of_domain"] = f"SELECT pair_id, prompt_a, prompt_b, label FROM equivalence_gold WHERE domain = 'finance' AND split = 'test' AND ({_CHECK}) IS NULL"
+ORACLE_SQL["concept_pairs"] = """WITH v AS (SELECT o_custkey AS concept, o_orderkey AS position, 'order ' || o_orderkey || ' ' || o_orderpriority AS text FROM orders)
+SELECT a.concept, a.text AS prompt_a, b.text AS prompt_b, 1 AS label FROM v a JOIN v b ON a.concept = b.concept AND a.position < b.position"""
+ORACLE_SQL["easy_negatives"] = """WITH k AS (SELECT DISTINCT p_brand AS concept, p_name AS text, md5(p_brand || chr(1) || p_name) AS k FROM part), n AS (SELECT CASE WHEN count(*) <= 160000 THEN 1 WHEN count(*) <= 2560000 THEN 2 ELSE 3 END AS digits FROM k),
+d AS (SELECT *, substr(k, 1, (SELECT digits FROM n)::INT) AS b FROM k), c AS (SELECT *, CASE WHEN lag(concept) OVER w IS NOT DISTINCT FROM concept THEN 0 ELSE 1 END AS c FROM d WINDOW w AS (PARTITION BY b ORDER BY k, text)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY b ORDER BY k, text ROWS UNBOUNDED PRECEDING) AS run FROM c), f AS (SELECT b, run - 1 AS run, text AS other FROM r QUALIFY row_number() OVER (PARTITION BY b, run ORDER BY k, text) <= 2)
+SELECT DISTINCT least(text, other) AS prompt_a, greatest(text, other) AS prompt_b, 0 AS label FROM r JOIN f USING (b, run) WHERE text <> other"""

@@ -53,7 +53,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = _vectors(spark, sf_dir)
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "vec")
     return K.exact_topk(vectors.select(F.col("vec_id").alias("entry_id"), "vec"), queries, dim=DIM, k=6), queries
 
 
@@ -173,11 +173,31 @@ def entity_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.with_entity_change(_gold(spark, sf_dir), "prompt_a", "prompt_b", "c").select("pair_id", "c.*")
 
 
+def _picked(sentence: str, words: list[str], key: str) -> str:
+    """A sentence with one of some words, chosen by a key of the row."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"replace('{sentence}', '%', element_at(array({listed}), CAST({key} % {len(words)} + 1 AS INT)))"
+
+
+_ORDINALS, _DOSES, _TIMES = ["first", "second", "third", "4th", "21st"], ["ibuprofen", "Warfarin", "insulin", "metformin", "water", "tea"], ["current", "latest", "previous", "Next", "recent", "full"]
+_RESETS = ["my password", "the admin password", "the Guest password", "the door"]
+#: Pairs of prompts written from orders, for the detectors that the labelled pairs hold nothing for.
+RENDERED = {
+    "quarter": ("concat('Summary for Q', quarter(o_orderdate))", "concat('Summary for quarter ', o_custkey % 4 + 1)"),
+    "year": ("concat('Total for ', year(o_orderdate))", "concat('Total for ', year(o_orderdate) + o_custkey % 2)"),
+    **{d: (_picked(s, w, "o_orderkey"), _picked(s, w, "o_custkey")) for d, s, w in (("ordinal", "Send the % copy", _ORDINALS), ("drug", "Dose of %", _DOSES), ("temporal", "Show the % report", _TIMES), ("privilege", "Reset %", _RESETS))},
+}
+
+
 def _entity_query(detector: str) -> Callable[[SparkSession, str], DataFrame]:
     only = X.EntityRules(disabled=tuple(d for d in X.DETECTORS if d != detector))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = X.with_entity_change(_gold(spark, sf_dir), "prompt_a", "prompt_b", "c", only)
+        rows = _gold(spark, sf_dir).select(F.concat(F.lit("g"), "pair_id").alias("pair_id"), "prompt_a", "prompt_b")
+        if detector in RENDERED:
+            a, b = RENDERED[detector]
+            rows = rows.unionByName(table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("pair_id"), F.expr(a).alias("prompt_a"), F.expr(b).alias("prompt_b")))
+        found = X.with_entity_change(rows, "prompt_a", "prompt_b", "c", only)
         return found.where("c is not null").select("pair_id", "c.token_a", "c.token_b")
 
     run.__name__ = f"entity_{detector}"
@@ -249,10 +269,29 @@ def reissued_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.reissued_lookups(table(spark, sf_dir, "lookup_records").select("query_id", "domain", "query_prompt", "created_at"), window_seconds=DAY)
 
 
+@query
+def open_reissues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Re-issues whose earlier hit has no feedback yet."""
+    lookups = table(spark, sf_dir, "lookup_records").select("query_id", "domain", "query_prompt", "created_at")
+    return L.reissued_lookups(lookups, window_seconds=DAY, feedback=table(spark, sf_dir, "feedback_events"))
+
+
+@query
+def upsert_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup ledger as it stands when a later row of a query replaces an earlier one."""
+    rows = table(spark, sf_dir, "lookup_records").select("query_id", "cache_entry_id", "query_prompt", "similarity_score", "created_at")
+    return L.latest_by_key(rows, "query_id", ["created_at", "cache_entry_id"])
+
+
+@query
+def record_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.accepted_feedback(table(spark, sf_dir, "feedback_events").select("id", "query_id", "label").distinct(), table(spark, sf_dir, "lookup_records"))
+
+
 @query
 def unflagged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups, feedback = table(spark, sf_dir, "lookup_records"), table(spark, sf_dir, "feedback_events")
-    return L.unflagged_hits(lookups.select("query_id", "domain", "query_prompt", "created_at"), feedback, as_of=AS_OF, window_seconds=3650 * DAY)
+    return L.unflagged_hits(lookups.select("query_id", "domain", "query_prompt", "created_at"), feedback, as_of=AS_OF, window_seconds=30 * DAY)
 
 
 @query
@@ -264,12 +303,14 @@ def latest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feedback_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.feedback_pairs(*[table(spark, sf_dir, t) for t in ("feedback_events", "lookup_records", "cache_entries")])
-    return found.select("feedback_id", "prompt_a", "prompt_b", "label", "domain", "source", "split", "metadata")
+    told = lambda name: F.get_json_object("metadata", f"$.{name}")
+    return found.select("prompt_a", "prompt_b", "label", "domain", "source", "split", *L.FEEDBACK_LINEAGE, told("via").alias("via"), told("feedback_event_id").alias("metadata_event"))
 
 
 @query
 def active_learning_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.active_learning_pairs(table(spark, sf_dir, "active_learning_pairs"))
+    found = L.active_learning_pairs(table(spark, sf_dir, "active_learning_pairs"))
+    return found.withColumn("metadata_id", F.get_json_object("metadata", "$.active_learning_id")).drop("metadata")
 
 
 @query
@@ -316,7 +357,7 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def benchmark_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.binary_metrics(_scored(spark, sf_dir).withColumn("score", F.col("similarity_score")), ["domain"], threshold=0.999, empty_precision=1.0)
+    return M.binary_metrics(_scored(spark, sf_dir).withColumn("score", F.col("similarity_score")), ["domain"], threshold=0.9, empty_precision=1.0)
 
 
 @query
@@ -349,6 +390,54 @@ def blocked_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.blocked_false_positives(_scored(spark, sf_dir), ["domain"], cosine_threshold=0.9, classifier_threshold=0.95)
 
 
+def _decided_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups decided by the ladder, once for each label that feedback gives them."""
+    labels = table(spark, sf_dir, "feedback_events").select("id", "query_id", "label").distinct()
+    return labels.join(D.decide(_lookup_pairs(spark, sf_dir), LADDER), "query_id")
+
+
+@query
+def comparison_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine, classifier, both scorers and the whole ladder, per domain."""
+    return M.comparison_matrix(_decided_labels(spark, sf_dir), ["domain"])
+
+
+@query
+def method_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safety and reuse of the four ways of deciding."""
+    rows = M.method_decisions(_decided_labels(spark, sf_dir).where("label in (0, 1)").select("label", "similarity_score", "classifier_score", "cross_encoder_score", "decision"))
+    outcome = lambda c: F.when(c, "hit").otherwise("miss")
+    return M.expectation_report(rows.withColumns({"expected": outcome(F.col("label") == 1), "decision": outcome(F.col("hit"))}), ["method"])
+
+
+@query
+def baseline_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.scenario_summary(_scored(spark, sf_dir), ["domain"], thresholds=[0.7, 0.8, 0.9, 0.95, 0.98])
+
+
+@query
+def six_point_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.threshold_sweep(_scored(spark, sf_dir), ["domain"], lowest=0.7, step=0.05, count=6)
+
+
+@query
+def reply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a response's lines without bullets, numbers and quotes."""
+    lines = table(spark, sf_dir, "cache_entries").where("response is not null").select("id", F.explode(X.cleaned_lines(F.col("response"))).alias("line"))
+    return lines.groupBy("id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+
+
+@query
+def rendered_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.rendered(F.lower("p_type"), F.col("p_name")).alias("prompt"))
+
+
+@query
+def pairs_of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = P.checked_pairs(table(spark, sf_dir, "equivalence_gold"))
+    return good.where("domain = 'finance' and split = 'test'").select("pair_id", "prompt_a", "prompt_b", "label")
+
+
 @query
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.class_weights(_gold(spark, sf_dir), ["source"])
@@ -384,8 +473,8 @@ def checked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def concept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = table(spark, sf_dir, "nation")
-    return P.concept_pairs(nations.select(F.col("n_regionkey").alias("concept"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("text")))
+    text = F.concat(F.lit("order "), "o_orderkey", F.lit(" "), "o_orderpriority")
+    return P.concept_pairs(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("concept"), F.col("o_orderkey").alias("position"), text.alias("text")))
 
 
 @query
@@ -434,7 +523,7 @@ def stream_reissued(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "lookup_records").schema
     stream = spark.readStream.schema(schema).parquet(_stream_folder(f"{sf_dir}/lookup_records.parquet")).select("query_id", "domain", "query_prompt", "created_at")
     out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    found = reissue_stream(stream.where("query_id is not null"), window_seconds=DAY, lateness="3650 days")
+    found = reissue_stream(stream.where("query_id is not null"), window_seconds=DAY, lateness="1 day 10 minutes")
     running = found.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema("query_id string, previous_id string, gap_seconds double").parquet(f"{out}/rows")
