@@ -96,9 +96,16 @@ def decide(pairs: DataFrame, settings: LadderSettings = LadderSettings()) -> Dat
         F.when(changed, entity),
         F.lit("passed_all_thresholds"),
     )
-    ruled = X.with_entity_change(pairs.withColumn("risk_tier", tier), "query_prompt", "cached_prompt", "_change", settings.rules)
+    ruled = pairs.withColumn("risk_tier", tier)
     if settings.veto_opposites:
         ruled = X.with_opposite_action(ruled, "query_prompt", "cached_prompt", "_veto")
+    # Only pairs that every gate lets through are searched for changed entities; the rules see no text of the others.
+    passed = ~none & ~F.coalesce(veto, F.lit(False)) & F.coalesce(mlp >= mlp_gate, F.lit(False)) & (cross.isNull() | (cross >= cross_gate))
+    open_pair = passed if settings.check_entities_on_bypass else passed & ~F.coalesce(bypassed, F.lit(False))
+    if settings.check_entities_on_bypass:
+        open_pair = open_pair | (~none & ~F.coalesce(veto, F.lit(False)) & F.coalesce((mlp >= mlp_gate) & bypassed, F.lit(False)))
+    ruled = ruled.withColumns({"_qa": F.when(open_pair, F.col("query_prompt")), "_cb": F.when(open_pair, F.col("cached_prompt"))})
+    ruled = X.with_entity_change(ruled, "_qa", "_cb", "_change", settings.rules).drop("_qa", "_cb")
     out = ruled.withColumn("reason", reason)
     hit = F.col("reason").isin("mlp_bypass", "passed_all_thresholds", "passed_mlp_threshold_no_cross_encoder")
     return out.withColumn("decision", F.when(hit, "hit").otherwise("miss")).withColumn("detector", F.when(F.col("reason").startswith("entity_change"), F.col("_change.detector"))).drop("_change", "_veto")
