@@ -24,6 +24,7 @@ BOUNDARIES = [
     (3, re.compile(r"[;:,](?=\s)|[；：，、]|\s[–—-](?=\s)|[)\]}]+,?(?=\s)")),  # after a clause
 ]
 _WORD_END = 2
+_ASCII_BLANK = np.array([chr(c).isspace() for c in range(128)])
 _FLAGS, _JOINER = (0x1F1E6, 0x1F1FF), 0x200D
 
 
@@ -40,8 +41,10 @@ def _character_kinds() -> tuple[np.ndarray, np.ndarray]:
 
 def _inside_characters(codes: np.ndarray) -> np.ndarray:
     """Positions inside one visible character: before marks and joiners, after joiners, between flag letters, inside CR LF."""
-    joins, _ = _character_kinds()
-    inside = joins[codes[1:]] | (codes[:-1] == _JOINER) | ((codes[:-1] == 13) & (codes[1:] == 10))
+    inside = (codes[:-1] == 13) & (codes[1:] == 10)
+    if codes.dtype == np.uint8:
+        return np.flatnonzero(inside) + 1
+    inside |= _character_kinds()[0][codes[1:]] | (codes[:-1] == _JOINER)
     flag = (codes >= _FLAGS[0]) & (codes <= _FLAGS[1])
     if flag.any():
         at = np.arange(len(codes))
@@ -65,7 +68,7 @@ def boundary_strengths(text: str, raw: bytes, ends: np.ndarray) -> np.ndarray:
         at = np.append(np.flatnonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80), len(raw))
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     strength[at] = 0
-    blank = _character_kinds()[1][codes]
+    blank = _ASCII_BLANK[codes] if codes.dtype == np.uint8 else _character_kinds()[1][codes]
     strength[at[np.flatnonzero(~blank[:-1] & blank[1:]) + 1]] = _WORD_END
     for value, rule in reversed(BOUNDARIES):
         places = at[[m.end() for m in rule.finditer(text)]]
@@ -117,7 +120,7 @@ class TextSplitter:
             raise ValueError("only a tokenizer that keeps every byte of a text can tell where to cut it")
         self.text, self.tok = text, tok
         self.words = tok.pattern.findall(text)
-        encoded = [tok.automaton.encode_word(w) for w in self.words]
+        encoded = tok.automaton.encode_words(self.words)
         self.ids = np.frombuffer(b"".join(encoded), dtype=np.int32)
         self._word_token = np.concatenate([[0], np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))])
         self._strength: np.ndarray | None = None

@@ -248,6 +248,11 @@ class TokenAutomaton:
         return found
 
 
+    def encode_words(self, words: list[str]) -> list[array]:
+        get, encode = self._memory.get, self.encode_word
+        return [found if (found := get(word)) is not None else encode(word) for word in words]
+
+
 class ByteTokenizer:
     """Words of the published pattern, each encoded by the automaton. Special tokens are ordinary text."""
 
@@ -268,16 +273,10 @@ class ByteTokenizer:
 
     def encode(self, text: str | None) -> array:
         """Ids of a text; an empty or null text has none."""
-        out = array("i")
-        if text:
-            encode = self.automaton.encode_word
-            for word in self.words(text):
-                out.extend(encode(word))
-        return out
+        return array("i", b"".join(self.automaton.encode_words(self.words(text)))) if text else array("i")
 
     def count(self, text: str | None) -> int:
-        encode = self.automaton.encode_word
-        return sum(len(encode(w)) for w in self.words(text)) if text else 0
+        return sum(map(len, self.automaton.encode_words(self.words(text)))) if text else 0
 
     def decode_bytes(self, ids) -> bytes:
         labels = self.automaton.labels

@@ -191,35 +191,48 @@ def record_keys(pairs: DataFrame, *, id_col: str, a_col: str, b_col: str, ratio:
     # Copies count once; of their wordings the longest stands for them, as it has the most courtesies.
     records = split.groupBy("c1", "c2").agg(F.max(F.struct((F.size("a") + F.size("b")).alias("size"), "a", "b")).alias("r"))
     counts = materialize(word_counts(records.select(F.explode(F.array_distinct(F.concat("r.a", "r.b"))).alias("token"))))
-    fixes = _corrections(counts, ratio).withColumnRenamed("word", "token")
+    fixes = _corrections(counts, ratio).withColumnRenamed("word", "token").select("token", "better", "m")
     schema = f"row_id {id_type}, k1 long, k2 long, f1 long, f2 long, rare array<string>, seen array<long>, even boolean"
-    found = materialize(_marked(split, counts.select("token").join(fixes, "token").select("token", "n", "better")))
-    allowed = fixes.join(_own_use(split, found, schema), "token", "left").where(F.col("own").isNull() | (F.col("n") * SURE_RATIO <= F.col("m"))).select("token", "better")
-    marks = materialize(counts.join(allowed, "token", "left").where((F.col("n") < ratio) | F.col("better").isNotNull()))
-    return _rewritten(split, _marked(split, marks), schema)
+    found = materialize(_marked(split, counts.join(fixes, "token", "left").where((F.col("n") < ratio) | F.col("better").isNotNull())))
+    judged = salted_join(found, _own_use(split, found.where("better is not null"), schema), ["token"], how="left")
+    slip = F.col("own").isNull() | (F.col("n") * SURE_RATIO <= F.col("m"))
+    settled = judged.withColumn("better", F.when(slip, F.col("better"))).where((F.col("n") < ratio) | F.col("better").isNotNull())
+    marked = materialize(_per_row(split, settled))
+    clear = marked.where("marked is null").select("row_id", F.col("c1").alias("k1"), F.col("c2").alias("k2"), *[F.lit(None).cast(t).alias(c) for c, t in (("f1", "long"), ("f2", "long"), ("rare", "array<string>"), ("seen", "array<long>"))], F.lit(False).alias("even"))
+    return clear.unionByName(_hashed_rows(marked.where("marked is not null"), schema))
 
 
 def _marked(split: DataFrame, marks: DataFrame) -> DataFrame:
-    """``(row_id, token, mark)``: where words of ``marks(token, n, better)`` stand in the records."""
+    """``(row_id, side, pos, token, n, better, m)``: where the words of ``marks(token, n, better, m)`` stand in the records."""
     placed = split.select("row_id", F.lit(0).alias("side"), F.posexplode("a").alias("pos", "token")).unionByName(split.select("row_id", F.lit(1).alias("side"), F.posexplode("b").alias("pos", "token")))
-    found = placed.join(F.broadcast(marks), "token") if marks.count() <= BROADCAST_CORRECTIONS else salted_join(placed, marks, ["token"])
-    return found.select("row_id", "token", F.struct("side", "pos", "token", "n", "better").alias("mark"))
+    marks = materialize(marks)
+    return placed.join(F.broadcast(marks), "token") if marks.count() <= BROADCAST_CORRECTIONS else salted_join(placed, marks, ["token"])
 
 
-def _rewritten(split: DataFrame, found: DataFrame, schema: str) -> DataFrame:
-    per_row = found.groupBy("row_id").agg(F.collect_list("mark").alias("marked"))
-    return split.join(per_row, "row_id", "left").select("row_id", "a", "b", "marked").mapInArrow(_hashed, schema)
+def _per_row(split: DataFrame, found: DataFrame, how: str = "left") -> DataFrame:
+    """Records with the words marked in them; sides are kept only where there are any."""
+    per_row = found.groupBy("row_id").agg(F.collect_list(F.struct("side", "pos", "token", "n", "better")).alias("marked"))
+    side = lambda c: F.when(F.col("marked").isNotNull(), F.col(c)).alias(c)
+    return split.join(per_row, "row_id", how).select("row_id", "c1", "c2", side("a"), side("b"), "marked")
+
+
+def _hashed_rows(marked: DataFrame, schema: str) -> DataFrame:
+    return marked.select("row_id", "a", "b", "marked").mapInArrow(_hashed, schema)
 
 
 def _own_use(split: DataFrame, found: DataFrame, schema: str) -> DataFrame:
-    """``(token, own)``: words in a record that, with all slips undone, is no other record without the word."""
-    touched = found.select("row_id").distinct()
-    corrected = _rewritten(split, found, schema).select("row_id", "k1", "k2")
-    keyed = materialize(split.select("row_id", "c1", "c2").join(corrected, "row_id"))
-    holders = keyed.join(found.select("row_id", "token").distinct(), "row_id").select("k1", "k2", "c1", "c2", "token").distinct().groupBy("k1", "k2", "token").agg(F.count("*").alias("holding"))
-    wanted = keyed.join(touched, "row_id", "left_semi").select("k1", "k2").distinct()
-    records = keyed.select("k1", "k2", "c1", "c2").distinct().join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("records"))
-    return holders.join(records, ["k1", "k2"]).where("holding >= records").select("token").distinct().withColumn("own", F.lit(True))
+    """``(token, own)``: words in a record that, with all slips undone, is no other record without the word.
+
+    A record without slips is what it is: its key in canonical form.
+    """
+    key = ["k1", "k2"]
+    touched = _per_row(split, found, "inner")
+    corrected = materialize(touched.select("row_id", "c1", "c2").join(_hashed_rows(touched, schema).select("row_id", *key), "row_id"))
+    holders = corrected.join(found.select("row_id", "token").distinct(), "row_id").select(*key, "c1", "c2", "token").distinct().groupBy(*key, "token").agg(F.count("*").alias("holding"))
+    wanted = corrected.select(*key).distinct()
+    clean = split.join(corrected.select("row_id"), "row_id", "left_anti").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "c1", "c2").join(wanted, key, "left_semi")
+    records = corrected.select(*key, "c1", "c2").unionByName(clean).distinct().groupBy(*key).agg(F.count("*").alias("records"))
+    return holders.join(records, key).where("holding >= records").select("token").distinct().withColumn("own", F.lit(True))
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
